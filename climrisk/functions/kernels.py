@@ -10,21 +10,21 @@ import numpy as np
 # Probability limits before the normal quantile (about +-3.719).
 LOWEST, HIGHEST = 1e-4, 1 - 1e-4
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-_quantile = np.frompyfunc(NormalDist().inv_cdf, 1, 1)
+
+def _each(function, x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(function, x), float, len(x))
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
-    return _lgamma(x).astype(float)
+    return _each(math.lgamma, x)
 
 
 def erfc(x: np.ndarray) -> np.ndarray:
-    return _erfc(x).astype(float)
+    return _each(math.erfc, x)
 
 
 def normal_quantile(p: np.ndarray) -> np.ndarray:
-    return _quantile(p).astype(float)
+    return _each(NormalDist().inv_cdf, p)
 
 
 def _shifted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

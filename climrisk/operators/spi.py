@@ -12,6 +12,7 @@ import logging
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from climrisk.functions import checks, kernels
 from climrisk.operators.calendar import BASE_END, BASE_START, dry_season, in_base_period
@@ -19,6 +20,10 @@ from climrisk.operators.windows import strict_sum
 
 log = logging.getLogger(__name__)
 
+_GAMMA = T.StructType(
+    [T.StructField("shape", T.DoubleType()), T.StructField("scale", T.DoubleType())]
+)
+
 # Fewest values for a two-parameter fit, and the flat-sample limit.
 MIN_FIT = 4
 FLAT_SPREAD = 1e-9
@@ -67,14 +72,14 @@ def accumulate(
     return monthly.withColumn(out, F.when(F.row_number().over(along) > window, total))
 
 
-@F.pandas_udf("shape double, scale double")
+@F.pandas_udf(_GAMMA)
 def _solve_gamma(mean: pd.Series, mean_log: pd.Series) -> pd.DataFrame:
     m, ml = mean.to_numpy(float), mean_log.to_numpy(float)
     shape = kernels.gamma_shape(m, ml)
     return pd.DataFrame({"shape": shape, "scale": m / shape})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _standardise(
     total: pd.Series, shape: pd.Series, scale: pd.Series, zero_share: pd.Series
 ) -> pd.Series:
