@@ -11,7 +11,6 @@ from datetime import datetime, timezone
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -55,24 +54,10 @@ class LevelClassifier:
         """Rows with a NULL feature get no forecast and are left out."""
         if self.model is None:
             raise NotTrained(f"train {self.algorithm} before predicting")
-        out = self.model.transform(self._assembled(rows))
-        if "_probability" in out.columns:
-            scores = vector_to_array("_probability")
-        else:
-            raw = F.transform(
-                vector_to_array("_raw"), lambda x: 1 / (1 + F.exp(F.lit(-1.0) * x))
-            )
-            whole = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-            scores = F.transform(raw, lambda x: x / whole)
-        return (
-            out.withColumn("_scores", scores)
-            .withColumn("prediction", levels.level_name(F.col("_predicted").cast("int")))
-            .withColumn(
-                "probability",
-                F.when(F.size("_scores") > 2, F.element_at("_scores", 3)).otherwise(0.0),
-            )
-            .drop("_features", "_raw", "_probability", "_predicted", "_scores")
+        out = self.model.transform(self._assembled(rows)).withColumn(
+            "_scores", vector_to_array("_probability")
         )
+        return _finished(out, levels.level_name(F.col("_predicted").cast("int")))
 
     def explain(self, rows: DataFrame) -> DataFrame | None:
         """Exact linear contributions to the high level, largest first; None when not linear."""
@@ -106,6 +91,68 @@ class LevelClassifier:
         return sorted(zip(self.features, map(float, scores)), key=lambda p: (-p[1], p[0]))
 
 
+def _finished(out: DataFrame, level) -> DataFrame:
+    """Forecast level and P(high); working columns removed. A level never seen scores zero."""
+    return (
+        out.withColumn("prediction", level)
+        .withColumn(
+            "probability",
+            F.when(F.size("_scores") > 2, F.element_at("_scores", 3)).otherwise(0.0),
+        )
+        .drop(*(c for c in out.columns if c.startswith("_")))
+    )
+
+
+class BoostedLevels(LevelClassifier):
+    """Boosted trees are binary in Spark: one against the rest for each level seen in training.
+
+    Scores of the three are scaled to sum to one; the highest one names the level.
+    """
+
+    def train(self, rows: DataFrame) -> BoostedLevels:
+        known = rows.where(F.col(self.label).isNotNull()).withColumn(
+            "_target", levels.severity(F.col(self.label))
+        )
+        ready = self._assembled(known)
+        seen = {r["_target"] for r in ready.select("_target").distinct().collect()}
+        self.model = {
+            i: self.classifier.copy(
+                {
+                    self.classifier.labelCol: f"_is{i}",
+                    self.classifier.probabilityCol: f"_p{i}",
+                    self.classifier.rawPredictionCol: f"_raw{i}",
+                    self.classifier.predictionCol: f"_said{i}",
+                }
+            ).fit(ready.withColumn(f"_is{i}", (F.col("_target") == i).cast("double")))
+            for i in sorted(seen)
+        }
+        return self
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        if self.model is None:
+            raise NotTrained(f"train {self.algorithm} before predicting")
+        out = self._assembled(rows)
+        for one in self.model.values():
+            out = one.transform(out)
+        each = [
+            F.element_at(vector_to_array(f"_p{i}"), 2) if i in self.model else F.lit(0.0)
+            for i in range(len(LEVELS))
+        ]
+        whole = sum(each, F.lit(0.0))
+        best = F.array_max(F.col("_scores"))
+        out = out.withColumn("_scores", F.array(*(s / whole for s in each)))
+        return _finished(
+            out, levels.level_name((F.array_position("_scores", best) - 1).cast("int"))
+        )
+
+    def importance(self) -> list[tuple[str, float]] | None:
+        if self.model is None:
+            return None
+        total = sum(m.featureImportances.toArray() for m in self.model.values())
+        scores = total / len(self.model)
+        return sorted(zip(self.features, map(float, scores)), key=lambda p: (-p[1], p[0]))
+
+
 _COLUMNS = {"featuresCol": "_features", "labelCol": "_target", "predictionCol": "_predicted"}
 
 
@@ -125,12 +172,10 @@ def random_forest(features: list[str], label: str = "label", **params) -> LevelC
     return LevelClassifier("random_forest", rf, features, label)
 
 
-def gradient_boosting(features: list[str], label: str = "label", **params) -> LevelClassifier:
-    """Boosted trees; binary in Spark, so one against the rest for the three levels."""
+def gradient_boosting(features: list[str], label: str = "label", **params) -> BoostedLevels:
     settings = {"maxIter": 10, "maxDepth": 4, "seed": SEED} | params
-    gbt = GBTClassifier(**settings)
-    rest = OneVsRest(classifier=gbt, rawPredictionCol="_raw", **_COLUMNS)
-    return LevelClassifier("xgboost", rest, features, label)
+    gbt = GBTClassifier(featuresCol="_features", **settings)
+    return BoostedLevels("xgboost", gbt, features, label)
 
 
 BUILDERS = {

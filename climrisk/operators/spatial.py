@@ -6,8 +6,11 @@ is its outline and later rings are holes. Most work runs on the edge table made
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from climrisk.functions import checks, geo
 
@@ -443,6 +446,41 @@ def cell_sharing(
     )
 
 
+_STRIP = T.StructType(
+    [
+        T.StructField("wv", T.ArrayType(T.DoubleType())),
+        T.StructField("w", T.ArrayType(T.DoubleType())),
+        T.StructField("hit", T.ArrayType(T.IntegerType())),
+    ]
+)
+
+
+def _weigh_strip(side: int, power: float):
+    """Weighted sums of one chunk of points for all cells of one grid row."""
+
+    @F.pandas_udf(_STRIP)
+    def weigh(
+        lat: pd.Series,
+        west: pd.Series,
+        step: pd.Series,
+        ys: pd.Series,
+        xs: pd.Series,
+        vs: pd.Series,
+    ) -> pd.DataFrame:
+        out = {"wv": [], "w": [], "hit": []}
+        for y, x0, dx, py, px, pv in zip(lat, west, step, ys, xs, vs):
+            x = x0 + np.arange(side)[:, None] * dx
+            d2 = (y - np.asarray(py)[None, :]) ** 2 + (x - np.asarray(px)[None, :]) ** 2
+            on = d2 < COINCIDENT
+            weight = np.where(on, 0.0, 1 / np.maximum(d2, COINCIDENT) ** (power / 2))
+            out["wv"].append(weight @ np.asarray(pv))
+            out["w"].append(weight.sum(axis=1))
+            out["hit"].append(np.where(on.any(axis=1), on.argmax(axis=1), -1).astype("int32"))
+        return pd.DataFrame(out)
+
+    return weigh
+
+
 def idw_surface(
     points: DataFrame,
     power: float = 2.0,
@@ -457,73 +495,74 @@ def idw_surface(
     """Inverse-distance surface over the points' extent, rows north to south.
 
     Points without a value take no part. A cell on a point takes the first such point's exact
-    value. Points travel in chunks, one array per chunk; every cell reads a chunk in place and
-    hands on two sums, so cell-point pairs never become rows.
+    value. Points travel in hashed chunks; each (grid row, chunk) pair is one unit of work that
+    hands on two sums per cell, so cell-point pairs never become rows.
     """
     if not 1 <= power <= 4:
         raise ValueError(f"the exponent must lie between 1 and 4, got {power}")
     checks.window_at_least(side, 2)
     known = points.where(F.col(value).isNotNull())
     facts = known.agg(
-        F.ceil(F.count("*") / POINTS_PER_CHUNK).alias("chunks"),
+        F.greatest(F.ceil(F.count("*") / POINTS_PER_CHUNK), F.lit(1)).alias("chunks"),
         (F.max(lat) + margin).alias("north"),
         (F.min(lat) - margin).alias("south"),
         (F.max(lon) + margin).alias("east"),
         (F.min(lon) - margin).alias("west"),
     )
-    at = {c: facts.select(c).scalar() for c in ("chunks", "north", "south", "east", "west")}
+    extent = facts.select(F.struct(*facts.columns)).scalar()
+    f = F.col("_f")
+    point = F.struct(
+        F.col(order).alias("o"),
+        F.col(lat).alias("y"),
+        F.col(lon).alias("x"),
+        F.col(value).cast("double").alias("v"),
+    )
     chunked = (
-        known.withColumn("_chunk", F.pmod(F.xxhash64(order), at["chunks"]))
+        known.withColumn("_chunk", F.pmod(F.xxhash64(order), extent["chunks"]))
         .groupBy("_chunk")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    F.col(lat).alias("y"),
-                    F.col(lon).alias("x"),
-                    F.col(value).alias("v"),
-                    F.col(order).alias("o"),
-                )
-            ).alias("_points")
-        )
+        .agg(F.sort_array(F.collect_list(point)).alias("_points"))
     )
-    spark = points.sparkSession
-    grid = (
-        spark.range(side * side)
+    strips = (
+        points.sparkSession.range(side)
+        .select(F.col("id").cast("int").alias("row"), extent.alias("_f"))
         .select(
-            F.floor(F.col("id") / side).cast("int").alias("row"),
-            (F.col("id") % side).cast("int").alias("col"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), at["chunks"] - 1)).alias("_chunk"),
+            "row",
+            F.explode(F.sequence(F.lit(0).cast("bigint"), f["chunks"] - 1)).alias("_chunk"),
+            (f["north"] - F.col("row") * ((f["north"] - f["south"]) / (side - 1))).alias("lat"),
+            f["west"].alias("_west"),
+            ((f["east"] - f["west"]) / (side - 1)).alias("_step"),
         )
-        .withColumn("lat", at["north"] - F.col("row") * ((at["north"] - at["south"]) / (side - 1)))
-        .withColumn("lon", at["west"] + F.col("col") * ((at["east"] - at["west"]) / (side - 1)))
-    )
-    start = F.struct(
-        F.lit(0.0).alias("wv"),
-        F.lit(0.0).alias("w"),
-        F.lit(None).cast("double").alias("hit"),
-        F.lit(None).cast(points.schema[order].dataType).alias("hit_order"),
-    )
-
-    def add(acc, p):
-        d2 = F.pow(F.col("lat") - p["y"], 2) + F.pow(F.col("lon") - p["x"], 2)
-        on = d2 < COINCIDENT
-        weight = F.when(on, 0.0).otherwise(1 / F.pow(F.greatest(d2, F.lit(COINCIDENT)), power / 2))
-        earlier = on & (acc["hit_order"].isNull() | (p["o"] < acc["hit_order"]))
-        return F.struct(
-            (acc["wv"] + weight * p["v"]).alias("wv"),
-            (acc["w"] + weight).alias("w"),
-            F.when(earlier, p["v"]).otherwise(acc["hit"]).alias("hit"),
-            F.when(earlier, p["o"]).otherwise(acc["hit_order"]).alias("hit_order"),
+    )
+    part = lambda n: F.transform("_points", lambda p: p[n])
+    sums = _weigh_strip(side, power)("lat", "_west", "_step", part("y"), part("x"), part("v"))
+    cells = (
+        strips.join(chunked, "_chunk")
+        .withColumn("_s", sums)
+        .select(
+            "row",
+            "lat",
+            "_west",
+            "_step",
+            "_points",
+            F.posexplode(F.arrays_zip("_s.wv", "_s.w", "_s.hit")).alias("col", "_c"),
         )
-
+    )
+    hit = F.get("_points", F.when(F.col("_c.hit") >= 0, F.col("_c.hit")))
     return (
-        grid.join(chunked, "_chunk")
-        .select("row", "col", "lat", "lon", F.aggregate("_points", start, add).alias("a"))
+        cells.select(
+            "row",
+            "col",
+            "lat",
+            (F.col("_west") + F.col("col") * F.col("_step")).alias("lon"),
+            F.col("_c.wv").alias("wv"),
+            F.col("_c.w").alias("w"),
+            hit["v"].alias("hit"),
+            hit["o"].alias("hit_order"),
+        )
         .groupBy("row", "col", "lat", "lon")
         .agg(
             F.coalesce(
-                F.min_by("a.hit", "a.hit_order"),
-                F.sum("a.wv") / F.nullif(F.sum("a.w"), F.lit(0.0)),
+                F.min_by("hit", "hit_order"), F.sum("wv") / F.nullif(F.sum("w"), F.lit(0.0))
             ).alias("value")
         )
     )

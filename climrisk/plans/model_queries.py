@@ -1 +1,78 @@
-"""Queries to come."""
+"""Spark ML classifiers on leak-free features, evaluated over expanding folds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from climrisk.operators import evaluation, models, windows
+from climrisk.plans import adapters as a
+from climrisk.plans import hazard_queries as h
+from climrisk.plans.registry import query, rounded
+
+FEATURES = ["lag_1", "sum_3", "sum_7", "mean_7", "month"]
+FOLDS = 2
+
+
+def training_rows(spark, sf):
+    """Features up to day t, label over the next week, fold of the evaluation."""
+    leveled = h.labeled(spark, sf).select("series", "date", "level", "label")
+    made = windows.lagged_features(a.rain(spark, sf)).withColumn(
+        "month", F.month("date").cast("double")
+    )
+    rows = made.join(leveled, ["series", "date"]).where("label IS NOT NULL")
+    complete = rows.dropna(subset=FEATURES)
+    return evaluation.expanding_folds(complete, FOLDS)
+
+
+def _scores(spark, sf, build):
+    folded = training_rows(spark, sf).persist()
+    scored = models.evaluate_expanding(lambda: build(FEATURES), folded, FOLDS)
+    cells = evaluation.confusion(scored, ["fold"])
+    out = evaluation.macro_scores(cells, ["fold"])
+    return rounded(out, 6, "macro_precision", "macro_recall", "macro_f1", "accuracy")
+
+
+@query("model_lr")
+def model_lr(spark, sf):
+    return _scores(spark, sf, models.logistic_regression)
+
+
+@query("model_rf")
+def model_rf(spark, sf):
+    return _scores(spark, sf, models.random_forest)
+
+
+@query("model_gbt")
+def model_gbt(spark, sf):
+    return _scores(spark, sf, lambda f: models.gradient_boosting(f, maxIter=5, maxDepth=3))
+
+
+@query("model_tune")
+def model_tune(spark, sf):
+    folded = training_rows(spark, sf).persist()
+    grid = [{"regParam": 0.001}, {"regParam": 0.1}]
+    out = models.tune(
+        lambda **p: models.logistic_regression(FEATURES, maxIter=20, **p), grid, folded, FOLDS
+    )
+    return rounded(out, 6, "macro_precision", "macro_recall", "macro_f1", "accuracy")
+
+
+@query("importance")
+def importance(spark, sf):
+    rows = training_rows(spark, sf).persist()
+    model = models.random_forest(FEATURES).train(rows.where(F.col("fold") < FOLDS))
+    return models.permutation_importance(model, rows.where(F.col("fold") == FOLDS))
+
+
+@query("explain_linear")
+def explain_linear(spark, sf):
+    rows = training_rows(spark, sf).persist()
+    model = models.logistic_regression(FEATURES).train(rows.where(F.col("fold") < FOLDS))
+    told = model.explain(model.predict(rows.where(F.col("fold") == FOLDS)))
+    return told.select(
+        "series",
+        "date",
+        "prediction",
+        "probability",
+        F.posexplode("explanation").alias("place", "_e"),
+    ).select("series", "date", "prediction", "probability", "place", "_e.*")
