@@ -72,56 +72,48 @@ def framed(
 
 def carried(
     df: DataFrame,
-    values: dict[str, Column],
+    back: dict[str, Column] | None = None,
+    ahead: dict[str, Column] | None = None,
     *,
-    ahead: bool = False,
     series="series",
     date: str = "date",
     block_days: int = BLOCK_DAYS,
 ) -> DataFrame:
-    """For each name, the latest non-NULL value at or before the row (`ahead`: at or after)."""
+    """The nearest non-NULL value of each expression, looking `back` or `ahead` from the row.
+
+    The row's own value counts. Both directions share one shuffle and one hand-over table.
+    """
     keys = _keys(series)
-    tagged = df.withColumn("_day", F.unix_date(F.col(date))).withColumn(
-        "_block", F.floor(F.col("_day") / block_days)
-    )
-    tagged = tagged.withColumns({f"_v_{n}": v for n, v in values.items()})
-    day = F.col("_day").desc() if ahead else F.col("_day").asc()
-    block = F.col("_block").desc() if ahead else F.col("_block").asc()
-    pick = F.min_by if ahead else F.max_by
+    wanted = {**(back or {}), **(ahead or {})}
+    tagged = df.withColumn(
+        "_block", F.floor(F.unix_date(F.col(date)) / block_days)
+    ).withColumns({f"_v_{n}": v for n, v in wanted.items()})
+
+    def edge(name: str) -> Column:
+        value = F.col(f"_v_{name}")
+        pick = F.max_by if name in (back or {}) else F.min_by
+        return pick(value, F.when(value.isNotNull(), F.col(date))).alias(f"_h_{name}")
+
+    def nearest(name: str, column: str, keep: list[str], order: str, last: int) -> Column:
+        along = F.col(order).asc() if name in (back or {}) else F.col(order).desc()
+        frame = (
+            Window.partitionBy(*keep).orderBy(along).rowsBetween(Window.unboundedPreceding, last)
+        )
+        return F.last(column, ignorenulls=True).over(frame)
+
     handed = (
         tagged.groupBy(*keys, "_block")
-        .agg(
-            *(
-                pick(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), F.col("_day"))).alias(
-                    f"_h_{n}"
-                )
-                for n in values
-            )
-        )
-        .withColumns(
-            {
-                f"_h_{n}": F.last(f"_h_{n}", ignorenulls=True).over(
-                    Window.partitionBy(*keys)
-                    .orderBy(block)
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                )
-                for n in values
-            }
-        )
-    )
-    inside = (
-        Window.partitionBy(*keys, "_block")
-        .orderBy(day)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .agg(*(edge(n) for n in wanted))
+        .withColumns({f"_h_{n}": nearest(n, f"_h_{n}", keys, "_block", -1) for n in wanted})
     )
+    inside = [*keys, "_block"]
     local = tagged.withColumns(
-        {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values}
+        {f"_l_{n}": nearest(n, f"_v_{n}", inside, date, Window.currentRow) for n in wanted}
     )
-    out = local.join(handed, [*keys, "_block"], "left").withColumns(
-        {n: F.coalesce(f"_l_{n}", f"_h_{n}") for n in values}
+    out = local.join(handed, inside, "left").withColumns(
+        {n: F.coalesce(f"_l_{n}", f"_h_{n}") for n in wanted}
     )
-    extra = [f"_{p}_{n}" for p in "vlh" for n in values]
-    return out.drop("_day", "_block", *extra)
+    return out.drop("_block", *(f"_{p}_{n}" for p in "vlh" for n in wanted))
 
 
 def running_sum(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date as Date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from climrisk.functions import checks
+from climrisk.operators.blocks import BLOCK_DAYS
 
 # Months of the dry season; the climate normal period.
 DRY_SEASON = (12, 1, 2, 3, 4)
@@ -40,17 +41,60 @@ def densify(
     members: DataFrame | None = None,
     series: str = "series",
     date: str = "date",
+    block_days: int = BLOCK_DAYS,
 ) -> DataFrame:
     """Every day of every series; days without a row come out with NULL values.
 
-    The join key (series, date) is unique on both sides, so no series is ever one task.
+    Only the rows that exist are shuffled. Each (series, block of days) holds them in order
+    behind one marker for the block's first day, and every row also writes the empty days up to
+    the next one. So the calendar is produced in place, a series is never one task, and blocks
+    without any row are filled by their marker.
     """
-    if start is None or end is None:
+    given = start is not None and end is not None
+    if not given:
         lo, hi = span(daily, date)
-        start, end = start or lo, end or hi
-    if members is None:
-        members = daily.select(series).distinct()
-    return calendar(members.select(series), start, end, date).join(daily, [series, date], "left")
+        start, end = (lo if start is None else start), (hi if end is None else end)
+    if isinstance(start, Date) and isinstance(end, Date):
+        checks.ordered_range(start, end)
+    lo, hi = F.unix_date(_as_column(start)), F.unix_date(_as_column(end))
+    rest = [c for c in daily.columns if c not in (series, date)]
+    known = daily.select(series).distinct() if members is None else members.select(series)
+    markers = known.select(
+        series,
+        F.explode(F.sequence(F.floor(lo / block_days), F.floor(hi / block_days))).alias("_block"),
+    ).select(
+        series,
+        "_block",
+        F.greatest(F.col("_block") * block_days, lo).alias("_day"),
+        F.lit(False).alias("_real"),
+    )
+    real = daily.where(F.col(date).between(_as_column(start), _as_column(end))).select(
+        series,
+        F.floor(F.unix_date(date) / block_days).alias("_block"),
+        F.unix_date(date).cast("bigint").alias("_day"),
+        F.lit(True).alias("_real"),
+        *rest,
+    )
+    along = Window.partitionBy(series, "_block").orderBy("_day", "_real")
+    last = F.least((F.col("_block") + 1) * block_days - 1, hi)
+    until = F.coalesce(F.lead("_day").over(along) - 1, last)
+    rows = markers.unionByName(real, allowMissingColumns=True).withColumn(
+        "_to", F.when(F.col("_real"), F.greatest("_day", until)).otherwise(until)
+    )
+    if members is not None:
+        # Rows of series outside the member list have no marker.
+        marked = F.min("_real").over(Window.partitionBy(series, "_block"))
+        rows = rows.withColumn("_member", ~marked).where("_member")
+    own = F.col("_real") & (F.col("_d") == F.col("_day"))
+    return (
+        rows.where("_to >= _day")
+        .withColumn("_d", F.explode(F.sequence("_day", "_to")))
+        .select(
+            series,
+            F.date_from_unix_date(F.col("_d").cast("int")).alias(date),
+            *(F.when(own, F.col(c)).alias(c) for c in rest),
+        )
+    )
 
 
 def densify_counts(counts: DataFrame, column: str, *args, **kwargs) -> DataFrame:

@@ -260,8 +260,7 @@ def impute_linear(
     checks.window_at_least(longest_gap)
     day = F.unix_date(date)
     known = F.when(F.col(value).isNotNull(), F.struct(day.alias("d"), F.col(value).alias("v")))
-    both = carried(df, {"_prev": known}, date=date, **where)
-    both = carried(both, {"_next": known}, ahead=True, date=date, **where)
+    both = carried(df, {"_prev": known}, {"_next": known}, date=date, **where)
     p, n = F.col("_prev"), F.col("_next")
     gap = n["d"] - p["d"] - 1
     line = p["v"] + (n["v"] - p["v"]) * (day - p["d"]) / (n["d"] - p["d"])

@@ -209,30 +209,23 @@ districts AS (
   FROM supplier JOIN cantons ON s_nationkey = n_nationkey)"""
 
 
-def _base(k, across: int):
-    """South-west corner of lattice place k in thousandths of a degree."""
-    x = F.lit(WEST) + (k % COLUMNS) * PITCH
-    y = F.lit(SOUTH) + F.floor(k / COLUMNS) * PITCH
-    return x if across == 0 else y
-
-
 def polygons(spark, sf) -> DataFrame:
     """One multipolygon per supplier on a lattice: box, L, box with hole, two boxes."""
-    k = F.col("s_suppkey")
-
-    def built(shape):
-        vertex = lambda dx, dy: F.struct(
-            ((_base(k, 0) + dx) / 1000.0).alias("lon"),
-            ((_base(k, 1) + dy) / 1000.0).alias("lat"),
-        )
-        return F.array(
-            *(F.array(*(F.array(*(vertex(*p) for p in ring)) for ring in part)) for part in shape)
-        )
 
-    shape = F.when(k % 4 == 0, built(SHAPES[0]))
-    for kind in (1, 2, 3):
-        shape = shape.when(k % 4 == kind, built(SHAPES[kind]))
-    return table(spark, sf, "supplier").select(k.alias("polygon"), shape.alias("geometry"))
+    def nested(shape) -> str:
+        ring = lambda r: "array(" + ", ".join(f"array({x}, {y})" for x, y in r) + ")"
+        part = lambda p: "array(" + ", ".join(map(ring, p)) + ")"
+        return "array(" + ", ".join(map(part, shape)) + ")"
+
+    x, y = _place("s_suppkey", "div")
+    return table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("polygon"),
+        F.expr(
+            f"""transform(element_at(array({', '.join(map(nested, SHAPES))}),
+              cast(s_suppkey % 4 as int) + 1), part -> transform(part, ring -> transform(ring,
+              p -> named_struct('lon', ({x} + p[0]) / 1000D, 'lat', ({y} + p[1]) / 1000D))))"""
+        ).alias("geometry"),
+    )
 
 
 def _edge_values() -> str:
@@ -245,14 +238,15 @@ def _edge_values() -> str:
     return ", ".join(rows)
 
 
-def _place_sql(k: str) -> tuple[str, str]:
+def _place(k: str, whole: str) -> tuple[str, str]:
+    """South-west corner of lattice place k in thousandths of a degree, as SQL text."""
     return (
         f"({WEST} + ({k} % {COLUMNS}) * {PITCH})",
-        f"({SOUTH} + ({k} // {COLUMNS}) * {PITCH})",
+        f"({SOUTH} + ({k} {whole} {COLUMNS}) * {PITCH})",
     )
 
 
-_X, _Y = _place_sql("s_suppkey")
+_X, _Y = _place("s_suppkey", "//")
 EDGES_SQL = f"""
 shapes(kind, part, ring, seq, dx1, dy1, dx2, dy2) AS (VALUES {_edge_values()}),
 edges AS (
@@ -267,19 +261,19 @@ edges AS (
 
 def detections(spark, sf) -> DataFrame:
     """Events as point detections near the lattice place of their user."""
-    k, e = F.col("user_id"), F.col("event_id")
-    return table(spark, sf, "events").select(
-        e.alias("detection_id"),
-        F.to_date("ts").alias("date"),
-        ((_base(k, 0) + (e * 37) % PITCH) / 1000.0 + 0.0005).alias("lon"),
-        ((_base(k, 1) + (e * 53) % PITCH) / 1000.0 + 0.0005).alias("lat"),
-        (e % 101).cast("int").alias("confidence"),
+    x, y = _place("user_id", "div")
+    return table(spark, sf, "events").selectExpr(
+        "event_id AS detection_id",
+        "CAST(ts AS DATE) AS date",
+        f"({x} + (event_id * 37) % {PITCH}) / 1000D + 0.0005D AS lon",
+        f"({y} + (event_id * 53) % {PITCH}) / 1000D + 0.0005D AS lat",
+        "CAST(event_id % 101 AS INT) AS confidence",
         "event_type",
-        F.concat(F.lit("D"), (k % 8).cast("string")).alias("district"),
+        "concat('D', CAST(user_id % 8 AS STRING)) AS district",
     )
 
 
-_PX, _PY = _place_sql("user_id")
+_PX, _PY = _place("user_id", "//")
 DETECTIONS_SQL = f"""
 detections AS (
   SELECT event_id AS detection_id, CAST(ts AS DATE) AS date,
