@@ -35,10 +35,29 @@ def cell_number(lon: Column, lat: Column, mesh: str) -> tuple[Column, Column]:
     return x.cast("int"), y.cast("int")
 
 
-def crosses(x1, y1, x2, y2, px, py) -> Column:
-    """Does the rightward ray from (px, py) meet the edge? Half-open, so vertices count once."""
-    straddles = (y1 <= py) != (y2 <= py)
-    return straddles & ((x1 + (py - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0))) > px)
+def crossing_right_of(x1, y1, x2, y2, px, py) -> Column:
+    """Does an edge met by the line y = py cross it right of px?
+
+    Decided by the sign of one cross product, so every caller asking about the same edge and
+    point gets the same answer, whatever the rounding. A point on the edge counts as right of it.
+    """
+    turn = (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
+    return (
+        F.when(px >= F.greatest(x1, x2), False)
+        .when(px < F.least(x1, x2), True)
+        .otherwise(turn * (y2 - y1) > 0)
+    )
+
+
+def crossing_below(x1, y1, x2, y2, px, py) -> Column:
+    """Does an edge met by the line x = px cross it at or below py? Same sign, same answer."""
+    right = crossing_right_of(x1, y1, x2, y2, px, py)
+    return (
+        F.when(py >= F.greatest(y1, y2), True)
+        .when(py < F.least(y1, y2), False)
+        .when((x2 - x1) * (y2 - y1) > 0, right)
+        .otherwise(~right)
+    )
 
 
 def haversine_m(lon1, lat1, lon2, lat2) -> Column:

@@ -66,28 +66,25 @@ def polygon_index(edge: DataFrame, step: float = CELL, polygon: str = "polygon")
     Coordinates are counted in cells, so grid lines are whole numbers. `corner` tells whether
     the lower right corner of the cell lies inside: the edges crossing the cell's lower line
     further right are counted by a running sum along the line. A point is then decided from its
-    own cell's edges alone.
+    own cell's edges alone. Edges on a grid line belong to the cell on its left.
     """
     scaled = edge.select(
         polygon,
         *((F.col(c) / step).alias(c) for c in ("x1", "y1", "x2", "y2")),
     )
-    span = lambda a, b: F.explode(
-        F.sequence(F.floor(F.least(a, b)), F.floor(F.greatest(a, b)))
-    )
-    by_row = scaled.withColumn("cy", span("y1", "y2"))
-    covered = by_row.withColumn("cx", span("x1", "x2"))
+    ends = tuple(map(F.col, ("x1", "y1", "x2", "y2")))
+    x1, y1, x2, y2 = ends
+    rows = F.sequence(F.floor(F.least(y1, y2)), F.floor(F.greatest(y1, y2)))
+    columns = F.sequence(F.ceil(F.least(x1, x2)) - 1, F.ceil(F.greatest(x1, x2)) - 1)
+    covered = scaled.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(columns))
     line = F.col("cy").cast("double")
-    meets = (F.col("y1") <= line) != (F.col("y2") <= line)
-    where = F.floor(
-        F.col("x1")
-        + (line - F.col("y1"))
-        * (F.col("x2") - F.col("x1"))
-        / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
-    )
+    meets = (y1 <= line) != (y2 <= line)
+    right_of = lambda column: geo.crossing_right_of(*ends, column.cast("double"), line)
+    # The one cell whose left border the crossing has passed and whose right border it has not.
+    here = right_of(F.col("cx")) & ~right_of(F.col("cx") + 1)
     cells = covered.groupBy(polygon, "cy", "cx").agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-        F.count_if(meets & (where == F.col("cx"))).alias("_met"),
+        F.count_if(meets & here).alias("_met"),
     )
     rightward = Window.partitionBy(polygon, "cy").orderBy(F.desc("cx"))
     strictly_right = rightward.rowsBetween(Window.unboundedPreceding, -1)
@@ -114,15 +111,19 @@ def _inside(px, py, cx, corner, cell_edges):
     floor_line = F.floor(py).cast("double")
 
     def met(e):
-        x1, y1, x2, y2 = e["x1"], e["y1"], e["x2"], e["y2"]
-        across = F.nullif(y2 - y1, F.lit(0.0))
-        up = F.nullif(x2 - x1, F.lit(0.0))
-        at_x = x1 + (py - y1) * (x2 - x1) / across
-        at_y = y1 + (border - x1) * (y2 - y1) / up
-        flat = ((y1 <= py) != (y2 <= py)) & (at_x > px) & (at_x < border)
-        upright = ((x1 < border) != (x2 < border)) & (at_y > floor_line) & (at_y <= py)
-        one = lambda c: F.coalesce(c.cast("int"), F.lit(0))
-        return one(flat) + one(upright)
+        ends = e["x1"], e["y1"], e["x2"], e["y2"]
+        x1, y1, x2, y2 = ends
+        flat = (
+            ((y1 <= py) != (y2 <= py))
+            & geo.crossing_right_of(*ends, px, py)
+            & ~geo.crossing_right_of(*ends, border, py)
+        )
+        upright = (
+            ((x1 <= border) != (x2 <= border))
+            & geo.crossing_below(*ends, border, py)
+            & ~geo.crossing_below(*ends, border, floor_line)
+        )
+        return flat.cast("int") + upright.cast("int")
 
     crossings = F.aggregate(cell_edges, F.lit(0), lambda n, e: n + met(e))
     return (F.coalesce(crossings, F.lit(0)) + corner.cast("int")) % 2 == 1
@@ -284,31 +285,31 @@ def coarsening_sweep(edge: DataFrame, decimals=(4, 3, 2), polygon: str = "polygo
 
 
 def interior_points(edge: DataFrame, polygon: str = "polygon") -> DataFrame:
-    """A point inside each polygon: middle of the widest inner stretch at mid-latitude.
+    """A point inside each polygon: middle of the widest inner stretch at a part's mid-latitude.
 
-    Unlike a centroid it stays inside concave shapes and outside holes.
+    Unlike a centroid it stays inside concave shapes, outside holes and on one of the parts.
     """
-    mid = edge.groupBy(polygon).agg(
+    mid = edge.groupBy(polygon, "part").agg(
         ((F.min(F.least("y1", "y2")) + F.max(F.greatest("y1", "y2"))) / 2).alias("lat")
     )
     y1, y2, lat = F.col("y1"), F.col("y2"), F.col("lat")
     crossing = F.col("x1") + (lat - y1) * (F.col("x2") - F.col("x1")) / F.nullif(
         y2 - y1, F.lit(0.0)
     )
-    along = Window.partitionBy(polygon).orderBy("x")
+    along = Window.partitionBy(polygon, "part").orderBy("x")
+    # Widths equal to a tenth of a millimetre are a tie, which goes west.
+    width = F.round(F.col("_to") - F.col("x"), 9)
+    widest = F.struct(width, -F.col("x"), -F.col("part"))
     return (
-        edge.join(mid, polygon)
+        edge.join(mid, [polygon, "part"])
         .where((y1 <= lat) != (y2 <= lat))
-        .select(polygon, "lat", crossing.alias("x"))
+        .select(polygon, "part", "lat", crossing.alias("x"))
         .withColumns({"_i": F.row_number().over(along), "_to": F.lead("x").over(along)})
         .where((F.col("_i") % 2 == 1) & F.col("_to").isNotNull())
         .groupBy(polygon)
         .agg(
-            F.max_by(
-                (F.col("x") + F.col("_to")) / 2,
-                F.struct(F.col("_to") - F.col("x"), -F.col("x")),
-            ).alias("lon"),
-            F.max("lat").alias("lat"),
+            F.max_by((F.col("x") + F.col("_to")) / 2, widest).alias("lon"),
+            F.max_by("lat", widest).alias("lat"),
         )
     )
 

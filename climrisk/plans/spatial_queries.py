@@ -57,15 +57,17 @@ def cell_index(spark, sf):
 
 
 INTERIOR = f"""{a.EDGES_SQL}, mid AS (
-      SELECT polygon, (min(least(y1, y2)) + max(greatest(y1, y2))) / 2 AS lat FROM edges GROUP BY 1),
-    hits AS (
-      SELECT e.polygon, lat, x1 + (lat - y1) * (x2 - x1) / (y2 - y1) AS x
-      FROM edges e JOIN mid ON mid.polygon = e.polygon WHERE (y1 <= lat) <> (y2 <= lat)),
+      SELECT polygon, part, (min(least(y1, y2)) + max(greatest(y1, y2))) / 2 AS lat FROM edges
+      GROUP BY 1, 2), hits AS (
+      SELECT e.polygon, e.part, lat, x1 + (lat - y1) * (x2 - x1) / (y2 - y1) AS x
+      FROM edges e JOIN mid ON mid.polygon = e.polygon AND mid.part = e.part
+      WHERE (y1 <= lat) <> (y2 <= lat)),
     gaps AS (SELECT *, row_number() OVER s AS i, lead(x) OVER s AS hi FROM hits
-      WINDOW s AS (PARTITION BY polygon ORDER BY x)),
+      WINDOW s AS (PARTITION BY polygon, part ORDER BY x)),
     inner_points AS (
       SELECT polygon, lat, (x + hi) / 2 AS lon FROM gaps WHERE i % 2 = 1 AND hi IS NOT NULL
-      QUALIFY row_number() OVER (PARTITION BY polygon ORDER BY hi - x DESC, x) = 1)"""
+      QUALIFY row_number() OVER (PARTITION BY polygon
+        ORDER BY round(hi - x, 9) DESC, x, part) = 1)"""
 
 
 @query(
