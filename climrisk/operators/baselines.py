@@ -63,16 +63,16 @@ class ClimatologicalBaseline:
             F.col("_rank").alias("_own"),
             F.col("probability").alias("_own_p"),
         )
-        rest = self.overall.select(
-            self.event, F.col("_rank").alias("_all"), F.col("probability").alias("_all_p")
-        )
+        # One entry per event of a closed vocabulary.
+        entry = F.struct(self.event, F.struct("_rank", "probability").alias("v"))
+        rest = self.overall.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+        other = F.try_element_at(rest, F.col(self.event))
         return (
             rows.withColumn("month", F.month(self.date))
             .join(own, [self.series, "month", self.event], "left")
-            .join(rest, self.event, "left")
-            .withColumn("prediction", levels.level_name(F.coalesce("_own", "_all")))
-            .withColumn("probability", F.coalesce("_own_p", "_all_p"))
-            .drop("month", "_own", "_all", "_own_p", "_all_p")
+            .withColumn("prediction", levels.level_name(F.coalesce("_own", other["_rank"])))
+            .withColumn("probability", F.coalesce("_own_p", other["probability"]))
+            .drop("month", "_own", "_own_p")
         )
 
     def explain(self, rows: DataFrame) -> None:

@@ -22,17 +22,20 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def write_by_year(df: DataFrame, path: str, date: str = "date", mode: str = "overwrite") -> None:
+def write_by_year(
+    df: DataFrame, path: str, date: str = "date", *, replace: str = "dynamic"
+) -> None:
     """Partitioned by year, so a range read only opens the years it needs.
 
-    Rows spread over tasks by year and a hash bucket: one year is never one writer.
+    Rows spread over tasks by year and a hash bucket: one year is never one writer. `dynamic`
+    replaces only the years written, `static` the whole table.
     """
     tagged = df.withColumn("year", F.year(date))
     spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != date]), F.lit(16))
     (
         tagged.repartition(F.col("year"), spread)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", replace)
         .partitionBy("year")
         .parquet(path)
     )
@@ -148,6 +151,6 @@ def write_snapshot(spark: SparkSession, df: DataFrame, root: str, date: str = "d
         "path": f"{root.rstrip('/')}/{facts['digest']}",
     }
     if not table_exists(spark, f"{manifest['path']}/_SUCCESS"):
-        write_by_year(stored, manifest["path"], date)
+        write_by_year(stored, manifest["path"], date, replace="static")
         spark.createDataFrame([manifest]).write.mode("append").json(f"{root}/_manifest")
     return manifest

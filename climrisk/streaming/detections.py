@@ -51,13 +51,17 @@ def sliding_counts(
     """Detections per district in sliding windows; `date` is the window's last day.
 
     On closed windows it equals the trailing batch count. Days without any detection in the
-    window do not appear; the batch calendar supplies their zeros.
+    window do not appear; the batch calendar supplies their zeros. Windows turn at midnight of
+    the session's time zone, as days do in the batch tables.
     """
-    marked = detections.withWatermark(ts, lateness)
+    wall = F.from_utc_timestamp(ts, F.current_timezone())
+    local = detections.withColumn(ts, wall)
+    marked = local.withWatermark(ts, lateness)
     counts = marked.groupBy(F.window(ts, window, slide).alias("w"), series).agg(
         F.count("*").alias("n")
     )
-    return counts.select(series, F.date_sub(F.to_date("w.end"), 1).alias("date"), "n")
+    last = F.floor(F.unix_seconds("w.end") / 86400).cast("int") - 1
+    return counts.select(series, F.date_from_unix_date(last).alias("date"), "n")
 
 
 def read_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 100) -> DataFrame:
