@@ -41,6 +41,23 @@ def _keys(series) -> list[str]:
     return [series] if isinstance(series, str) else list(series)
 
 
+def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that have their keys. Rows without belong to no series.
+
+    Saying so up front also keeps the two sides of a later outer join on the same plan: the
+    optimiser would otherwise add the test to one side only, and their shuffle would not be shared.
+    """
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df
+
+
+def _by_block(df: DataFrame, keys: list[str], date: str, block_days: int) -> DataFrame:
+    """Rows placed by (series, block) once; whatever is derived per block reuses that shuffle."""
+    block = F.floor(F.unix_date(F.col(date)) / block_days)
+    return keyed(df, [*keys, date]).withColumn("_block", block).repartition(*keys, "_block")
+
+
 def framed(
     df: DataFrame,
     before: int,
@@ -55,7 +72,8 @@ def framed(
     keys = _keys(series)
     day = F.unix_date(F.col(date))
     tagged = (
-        df.withColumn("_day", day)
+        keyed(df, [*keys, date])
+        .withColumn("_day", day)
         .withColumn(
             "_block",
             F.explode(
@@ -85,9 +103,9 @@ def carried(
     """
     keys = _keys(series)
     wanted = {**(back or {}), **(ahead or {})}
-    tagged = df.withColumn(
-        "_block", F.floor(F.unix_date(F.col(date)) / block_days)
-    ).withColumns({f"_v_{n}": v for n, v in wanted.items()})
+    tagged = _by_block(df, keys, date, block_days).withColumns(
+        {f"_v_{n}": v for n, v in wanted.items()}
+    )
 
     def edge(name: str) -> Column:
         value = F.col(f"_v_{name}")
@@ -126,10 +144,9 @@ def running_sum(
 ) -> DataFrame:
     """Running totals from the start of each series up to and including the row."""
     keys = _keys(series)
-    tagged = df.withColumn("_day", F.unix_date(F.col(date))).withColumn(
-        "_block", F.floor(F.col("_day") / block_days)
+    tagged = _by_block(df, keys, date, block_days).withColumns(
+        {f"_v_{n}": v for n, v in values.items()}
     )
-    tagged = tagged.withColumns({f"_v_{n}": v for n, v in values.items()})
     earlier = (
         Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -140,7 +157,7 @@ def running_sum(
     )
     inside = (
         Window.partitionBy(*keys, "_block")
-        .orderBy("_day")
+        .orderBy(date)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = tagged.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(inside) for n in values})
@@ -149,4 +166,4 @@ def running_sum(
         {n: F.coalesce(f"_l_{n}", zero) + F.coalesce(f"_h_{n}", zero) for n in values}
     )
     extra = [f"_{p}_{n}" for p in "vlh" for n in values]
-    return out.drop("_day", "_block", *extra)
+    return out.drop("_block", *extra)

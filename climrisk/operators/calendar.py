@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from climrisk.functions import checks
-from climrisk.operators.blocks import BLOCK_DAYS
+from climrisk.operators.blocks import BLOCK_DAYS, keyed
 
 # Months of the dry season; the climate normal period.
 DRY_SEASON = (12, 1, 2, 3, 4)
@@ -50,15 +50,20 @@ def densify(
     the next one. So the calendar is produced in place, a series is never one task, and blocks
     without any row are filled by their marker.
     """
-    given = start is not None and end is not None
-    if not given:
-        lo, hi = span(daily, date)
-        start, end = (lo if start is None else start), (hi if end is None else end)
     if isinstance(start, Date) and isinstance(end, Date):
         checks.ordered_range(start, end)
+    daily = keyed(daily, [series, date])
+    known, given = members, start is not None or end is not None
+    if members is None or start is None or end is None:
+        # Series and range come from one summary, kept whole so both uses share its shuffle.
+        spans = daily.groupBy(series).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
+        ends = spans.where("_lo <= _hi").agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"))
+        start = ends.select("lo").scalar() if start is None else start
+        end = ends.select("hi").scalar() if end is None else end
+        known = spans.where("_lo <= _hi") if members is None else members
+    known = keyed(known, [series])
     lo, hi = F.unix_date(_as_column(start)), F.unix_date(_as_column(end))
     rest = [c for c in daily.columns if c not in (series, date)]
-    known = daily.select(series).distinct() if members is None else members.select(series)
     markers = known.select(
         series,
         F.explode(F.sequence(F.floor(lo / block_days), F.floor(hi / block_days))).alias("_block"),
@@ -68,7 +73,8 @@ def densify(
         F.greatest(F.col("_block") * block_days, lo).alias("_day"),
         F.lit(False).alias("_real"),
     )
-    real = daily.where(F.col(date).between(_as_column(start), _as_column(end))).select(
+    inside = F.col(date).between(_as_column(start), _as_column(end))
+    real = (daily.where(inside) if given else daily).select(
         series,
         F.floor(F.unix_date(date) / block_days).alias("_block"),
         F.unix_date(date).cast("bigint").alias("_day"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from climrisk.functions import checks, levels
 from climrisk.operators.blocks import framed
+from climrisk.operators.thresholds import percentiles_of_sums
 from climrisk.operators.windows import rolling_sum
 from climrisk.schemas import LEVELS
 
@@ -20,15 +21,20 @@ FIRE_WINDOW_DAYS = 7
 
 def rain_levels(
     daily: DataFrame,
-    thresholds: DataFrame,
+    thresholds: DataFrame | None = None,
     window: int = 3,
     *,
     value: str = "value",
     series: str = "series",
     date: str = "date",
 ) -> DataFrame:
-    """Level of the 72-hour sum against the series' own accumulated thresholds."""
+    """Level of the 72-hour sum against the series' own accumulated thresholds.
+
+    Without given thresholds they come from the base period of the same sums.
+    """
     sums = rolling_sum(daily, window, "total", value=value, series=series, date=date)
+    if thresholds is None:
+        thresholds = percentiles_of_sums(sums, series=series, date=date)
     limits = thresholds.select(series, "p95_accumulated", "p99_accumulated")
     return sums.join(limits, series, "left").withColumn(
         "level",

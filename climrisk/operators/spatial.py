@@ -358,31 +358,38 @@ def area_coherence(
 def ring_validity(edge: DataFrame, polygon: str = "polygon") -> DataFrame:
     """Closure, vertex count, zero area and self-crossing of every ring.
 
-    Crossing candidates share a cell of twice the ring's own mean edge length, so a cell holds
-    a handful of edges however long the ring is.
+    Edges are filed in grids whose cell is the power of two just above their own length, so a
+    cell only holds edges of its size, at most four cells each. An edge looks for partners in its
+    own grid and in the coarser ones of its ring. Fine detail next to long edges stays cheap.
     """
     ring = [polygon, "part", "ring"]
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    facts = edge.groupBy(*ring).agg(
+    size = F.greatest(F.abs(dx), F.abs(dy), F.lit(1e-12))
+    sized = edge.withColumn("_level", F.ceil(F.log2(size)).cast("int"))
+    facts = sized.groupBy(*ring).agg(
         (F.count("*") + 1).alias("vertices"),
         F.min_by(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), "seq").alias("_a"),
         F.max_by(F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")), "seq").alias("_z"),
         F.max("seq").alias("_last"),
         (F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2).alias("_area"),
-        F.greatest(F.avg(F.hypot(dx, dy)) * 2, F.lit(1e-9)).alias("_cell"),
+        F.array_sort(F.collect_set("_level")).alias("_levels"),
     )
-    span = lambda a, b: F.explode(
-        F.sequence(
-            F.floor(F.least(a, b) / F.col("_cell")), F.floor(F.greatest(a, b) / F.col("_cell"))
+
+    def filed(df: DataFrame, grid: str) -> DataFrame:
+        cell = F.pow(F.lit(2.0), F.col(grid))
+        span = lambda a, b: F.explode(
+            F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
         )
+        return df.withColumn("_gx", span("x1", "x2")).withColumn("_gy", span("y1", "y2"))
+
+    cell = [*ring, "_grid", "_gx", "_gy"]
+    seekers = filed(
+        sized.join(facts.select(*ring, "_levels", "_last"), ring).withColumn(
+            "_grid", F.explode(F.filter("_levels", lambda g: g >= F.col("_level")))
+        ),
+        "_grid",
     )
-    gridded = (
-        edge.join(facts.select(*ring, "_cell", "_last"), ring)
-        .withColumn("_gx", span(F.col("x1"), F.col("x2")))
-        .withColumn("_gy", span(F.col("y1"), F.col("y2")))
-    )
-    cell = [*ring, "_gx", "_gy"]
-    other = gridded.select(
+    other = filed(sized.withColumn("_grid", F.col("_level")), "_grid").select(
         *cell, *(F.col(c).alias(f"o_{c}") for c in ("seq", "x1", "y1", "x2", "y2"))
     )
     side = lambda ax, ay, bx, by, px, py: F.signum(
@@ -393,12 +400,11 @@ def ring_validity(edge: DataFrame, polygon: str = "polygon") -> DataFrame:
     theirs = (c["o_x1"], c["o_y1"], c["o_x2"], c["o_y2"])
     apart = side(*mine, *theirs[:2]) * side(*mine, *theirs[2:])
     across = side(*theirs, *mine[:2]) * side(*theirs, *mine[2:])
-    neighbours = (F.col("o_seq") - F.col("seq") == 1) | (
-        (F.col("seq") == 1) & (F.col("o_seq") == F.col("_last"))
-    )
+    step = F.abs(F.col("o_seq") - F.col("seq"))
+    neighbours = (step <= 1) | (step == F.col("_last") - 1)
     crossed = (
-        gridded.join(other, cell)
-        .where((F.col("seq") < F.col("o_seq")) & ~neighbours & (apart < 0) & (across < 0))
+        seekers.join(other, cell)
+        .where(~neighbours & (apart < 0) & (across < 0))
         .select(*ring)
         .distinct()
         .withColumn("_x", F.lit(True))

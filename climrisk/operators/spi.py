@@ -45,14 +45,19 @@ def monthly_totals(
         ).alias("total"),
         F.count(value).cast("int").alias("days_present"),
     )
-    spans = totals.groupBy(series).agg(
-        F.min("month_start").alias("_lo"), F.max("month_start").alias("_hi")
-    )
-    every = spans.select(
-        series,
-        F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month"))).alias("month_start"),
+    along = Window.partitionBy(series).orderBy("month_start")
+    last = F.coalesce(F.add_months(F.lead("month_start").over(along), -1), F.col("month_start"))
+    own = F.col("_m") == F.col("month_start")
+    return (
+        totals.withColumn("_last", last)
+        .withColumn("_m", F.explode(F.sequence("month_start", "_last", F.expr("interval 1 month"))))
+        .select(
+            series,
+            F.col("_m").alias("month_start"),
+            F.when(own, F.col("total")).alias("total"),
+            F.when(own, F.col("days_present")).otherwise(0).alias("days_present"),
+        )
     )
-    return every.join(totals, [series, "month_start"], "left").fillna(0, ["days_present"])
 
 
 def accumulate(

@@ -54,20 +54,28 @@ def accumulated_percentiles(
     series: str = "series",
     date: str = "date",
 ) -> DataFrame:
-    """Percentiles of rolling sums, dry ones included, windows with gaps left out.
-
-    The base period applies to the last day of a window, so the sum comes first. Only the days
-    a window inside the period can touch are read.
-    """
-    near = daily.where(
-        F.col(date).between(F.date_sub(F.lit(start), window - 1), F.lit(end))
-    )
-    sums = rolling_sum(near, window, "_sum", value=value, series=series, date=date).where(
-        F.col("_sum").isNotNull() & in_base_period(F.col(date), start, end)
+    """Percentiles of rolling sums, dry ones included, windows with gaps left out."""
+    sums = rolling_sum(daily, window, "_sum", value=value, series=series, date=date)
+    return percentiles_of_sums(
+        sums, percents, start, end, total="_sum", series=series, date=date
     )
-    return sums.groupBy(series).agg(
-        F.count("_sum").alias("windows"),
-        *(_tail(F.col("_sum"), p).alias(f"p{p:g}_accumulated") for p in percents),
+
+
+def percentiles_of_sums(
+    sums: DataFrame,
+    percents=(95, 99),
+    start: Date = BASE_START,
+    end: Date = BASE_END,
+    *,
+    total: str = "total",
+    series: str = "series",
+    date: str = "date",
+) -> DataFrame:
+    """The same from sums already rolled. The base period applies to a window's last day."""
+    known = sums.where(F.col(total).isNotNull() & in_base_period(F.col(date), start, end))
+    return known.groupBy(series).agg(
+        F.count(total).alias("windows"),
+        *(_tail(F.col(total), p).alias(f"p{p:g}_accumulated") for p in percents),
     )
 
 
@@ -76,23 +84,24 @@ def district_thresholds(
     members: DataFrame | None = None,
     window: int = 3,
     *,
+    value: str = "value",
     series: str = "series",
-    **columns,
+    date: str = "date",
 ) -> DataFrame:
-    """Both definitions for every series; a series without enough data keeps NULLs."""
-    if members is None:
-        members = daily.select(series).distinct()
-    wet = wet_day_percentiles(daily, series=series, **columns)
-    acc = accumulated_percentiles(daily, window=window, series=series, **columns)
-    return (
-        members.select(series)
-        .join(wet, series, "left")
-        .join(acc, series, "left")
-        .select(
-            series,
-            *(f"{p}_{kind}" for kind in ("daily", "accumulated") for p in ("p95", "p99")),
-        )
+    """Both definitions for every series, in one aggregation over the rolled table.
+
+    A series without enough data keeps NULLs.
+    """
+    sums = rolling_sum(daily, window, "_sum", value=value, series=series, date=date)
+    base = in_base_period(F.col(date))
+    kinds = {
+        "daily": F.when(base & (F.col(value) >= WET_DAY_MM), F.col(value)),
+        "accumulated": F.when(base, F.col("_sum")),
+    }
+    limits = sums.groupBy(series).agg(
+        *(_tail(v, p).alias(f"p{p}_{kind}") for kind, v in kinds.items() for p in (95, 99))
     )
+    return limits if members is None else members.select(series).join(limits, series, "left")
 
 
 def count_threshold(

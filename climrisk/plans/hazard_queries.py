@@ -30,8 +30,7 @@ LABELED = f"""{LEVELED}, lab AS (
 
 
 def leveled(spark, sf):
-    daily = a.rain(spark, sf)
-    return labels.rain_levels(daily, thresholds.accumulated_percentiles(daily))
+    return labels.rain_levels(a.rain(spark, sf))
 
 
 def labeled(spark, sf):

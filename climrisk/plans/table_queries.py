@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from climrisk.functions import geo
 from climrisk.operators import audits, calendar, catalog, merge, risk
 from climrisk.operators import labels as level_ops
-from climrisk.operators import thresholds
 from climrisk.plans import adapters as a
 from climrisk.plans import series_queries as s
 from climrisk.plans.registry import query, rounded
@@ -582,7 +581,7 @@ REGION_LEVELS = f"""{a.REGIONS_SQL}, sums AS (SELECT *, {s.STRICT3} AS total FRO
 )
 def catalog_contrast(spark, sf):
     daily = a.regions(spark, sf)
-    levels = level_ops.rain_levels(daily, thresholds.accumulated_percentiles(daily)).select(
+    levels = level_ops.rain_levels(daily).select(
         F.col("series").alias("district"), "date", "level"
     )
     events = clean_catalog(spark, sf).select(

@@ -22,6 +22,9 @@ REANALYSIS_JSON = (
 RAIN_JSON = (
     "data array<struct<year: int, month: int, day: int, value: string, raw_value: double>>"
 )
+FEATURE_JSON = (
+    "geometry struct<type: string, coordinates: string>, properties map<string, string>"
+)
 FEATURES_JSON = (
     "features array<struct<geometry: struct<type: string, coordinates: string>, "
     "properties: map<string, string>>>"
@@ -156,13 +159,18 @@ def geojson_rows(
     *,
     code: str = "CÓDIGO_DTA",
     name: str = "DISTRITO",
+    per_line: bool = False,
 ) -> DataFrame:
     """Feature collections to (code, name, geometry), polygons wrapped as one-part multipolygons.
 
-    Other geometry types are left out; the code comes from the given attribute only.
+    Other geometry types are left out; the code comes from the given attribute only. With
+    `per_line` every payload is one feature, the form for files too large to be one row.
     """
-    f = F.from_json(payload, FEATURES_JSON)
-    feature = df.select(*keys, F.explode(f["features"]).alias("f"))
+    if per_line:
+        feature = df.select(*keys, F.from_json(payload, FEATURE_JSON).alias("f"))
+    else:
+        f = F.from_json(payload, FEATURES_JSON)
+        feature = df.select(*keys, F.explode(f["features"]).alias("f"))
     kind = F.col("f.geometry.type")
     text = F.col("f.geometry.coordinates")
     multi = F.when(kind == "Polygon", F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
@@ -187,7 +195,13 @@ def geojson_rows(
     )
 
 
-def read_geojson(spark: SparkSession, path: str, **attributes) -> DataFrame:
+def read_geojson(
+    spark: SparkSession, path: str, *, per_line: bool = False, **attributes
+) -> DataFrame:
+    """Collections as whole files, or newline-delimited features read in splits."""
+    if per_line:
+        lines = spark.read.text(path).select(F.col("value").alias("payload"))
+        return geojson_rows(lines, per_line=True, **attributes)
     return geojson_rows(read_texts(spark, path), **attributes)
 
 

@@ -27,13 +27,13 @@ def write_by_year(
 ) -> None:
     """Partitioned by year, so a range read only opens the years it needs.
 
-    Rows spread over tasks by year and a hash bucket: one year is never one writer. `dynamic`
-    replaces only the years written, `static` the whole table.
+    Rows are rebalanced by year: large years split over many tasks of even size, small ones
+    share a task, so neither one writer nor many small files appear. `dynamic` replaces only the
+    years written, `static` the whole table.
     """
-    tagged = df.withColumn("year", F.year(date))
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != date]), F.lit(16))
     (
-        tagged.repartition(F.col("year"), spread)
+        df.withColumn("year", F.year(date))
+        .hint("rebalance", "year")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", replace)
         .partitionBy("year")

@@ -158,6 +158,35 @@ def test_ring_validity(spark):
     assert got["star", 0, 0].valid and got["hole", 0, 1].valid and got["two", 1, 0].valid
 
 
+def crosses(a, b, c, d):
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    return side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+
+
+def test_self_crossing_matches_all_pairs(spark):
+    """Rings with edges of very different lengths, some of them crossing."""
+    rows, want = [], {}
+    for seed in range(40):
+        r = random.Random(seed)
+        pts = [(r.uniform(0, 1), r.uniform(0, 1)) for _ in range(r.choice((3, 4, 5)))]
+        for _ in range(6):
+            x, y = pts[-1]
+            pts.append((x + r.uniform(-1, 1) * 0.5 ** r.randint(0, 9), y + r.uniform(-1, 1) * 0.01))
+        closed = [*pts, pts[0]]
+        segs = list(zip(closed, closed[1:]))
+        n = len(segs)
+        want[str(seed)] = any(
+            crosses(*segs[i], *segs[j])
+            for i in range(n)
+            for j in range(i + 2, n)
+            if not (i == 0 and j == n - 1)
+        )
+        rows.append((str(seed), [[ring(*pts)]]))
+    edge = spatial.edges(spark.createDataFrame(rows, SCHEMA))
+    got = {r.polygon: r.self_crossing for r in spatial.ring_validity(edge).collect()}
+    assert got == want and 0 < sum(want.values()) < 40
+
+
 def test_cells_touched_counts_boundary_cells(spark):
     box = [[ring((0.01, 0.01), (0.14, 0.01), (0.14, 0.14), (0.01, 0.14))]]
     edge = spatial.edges(spark.createDataFrame([("b", box)], SCHEMA))

@@ -88,6 +88,11 @@ def test_geojson(spark, tmp_path):
     rows = payloads.read_geojson(spark, str(tmp_path)).orderBy("code").collect()
     assert [(r.code, r.name, len(r.geometry)) for r in rows] == [("10101", "Río Seco", 1), ("10102", None, 2)]
     assert rows[0].geometry[0][0][1].lon == 1.0
+    (tmp_path / "lines").mkdir()
+    lines = "\n".join(json.dumps(f) for f in features)
+    (tmp_path / "lines" / "d.geojsonl").write_text(lines, encoding="utf-8")
+    same = payloads.read_geojson(spark, str(tmp_path / "lines"), per_line=True)
+    assert sorted(r.code for r in same.collect()) == ["10101", "10102"]
 
 
 def test_event_and_measurement_csv(spark, tmp_path):
