@@ -315,6 +315,28 @@ def filter_effect(
     )
 
 
+def filter_sweep(
+    daily: DataFrame, sizes=(3, 5, 7, 11), order: int = 2, *, value: str = "value", **where
+) -> DataFrame:
+    """The same audit for several smoothing windows, smoothed values kept to nine decimals.
+
+    With three points a parabola passes through all of them: window 3 must change nothing.
+    """
+    from climrisk.operators.windows import smooth
+
+    table = None
+    for size in sizes:
+        out = smooth(daily, size, order, "_smooth", value=value, **where)
+        row = filter_effect(
+            out.withColumn("_smooth", F.round("_smooth", 9)),
+            "_smooth",
+            value=value,
+            series=where.get("series", "series"),
+        ).withColumn("window", F.lit(size))
+        table = row if table is None else table.unionByName(row)
+    return table
+
+
 def index_correlation(
     a: DataFrame, b: DataFrame, keys, left: str, right: str, *, series: str = "series"
 ) -> DataFrame:

@@ -46,6 +46,25 @@ def drought_levels(index: DataFrame, spi: str = "spi") -> DataFrame:
     return index.withColumn("level", levels.drought_level(F.col(spi)))
 
 
+def levels_by_day(
+    monthly_levels: DataFrame,
+    days: DataFrame,
+    *,
+    level: str = "level",
+    series: str = "series",
+    date: str = "date",
+    month: str = "month_start",
+) -> DataFrame:
+    """Each day with the level of the last complete month, so a day never sees its own month."""
+    known = monthly_levels.select(series, F.add_months(month, 1).alias("_m"), level)
+    return (
+        days.select(series, date)
+        .withColumn("_m", F.trunc(date, "month"))
+        .join(known, [series, "_m"], "left")
+        .drop("_m")
+    )
+
+
 def trailing_counts(
     daily_counts: DataFrame,
     window: int = FIRE_WINDOW_DAYS,

@@ -133,10 +133,12 @@ def measurements(spark, sf) -> DataFrame:
             F.sum(
                 F.when(c("l_quantity") > 2, F.greatest(c("l_quantity") - 45, F.lit(0.0)))
             ).alias("precip_mm"),
-            F.when(F.max("l_linestatus") == "O", "chirps").otherwise("otra").alias("rain_source"),
+            F.when(F.bool_or(c("l_linestatus") == "O"), "chirps")
+            .otherwise("otra")
+            .alias("rain_source"),
             F.lit("power").alias("other_source"),
-            (F.max("l_returnflag") == "R").alias("imputed"),
-            F.when(F.max("l_returnflag") == "R", "media_movil")
+            F.bool_or(c("l_returnflag") == "R").alias("imputed"),
+            F.when(F.bool_or(c("l_returnflag") == "R"), "media_movil")
             .otherwise("sin_imputar")
             .alias("imputation_method"),
             F.date_add(F.max(F.to_date("l_shipdate")), F.max("l_linenumber")).alias(

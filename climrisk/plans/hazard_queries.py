@@ -116,6 +116,38 @@ def label_7d(spark, sf):
     return labeled(spark, sf).select("series", "date", "level", "label")
 
 
+@query(
+    "label_fire",
+    f"""WITH {a.FIRE_SQL}, {WEEK}, {P90}, lev AS (
+      SELECT w.series, date, CASE WHEN n = 0 THEN 0 WHEN n <= p90 THEN 1 ELSE 2 END AS r
+      FROM week w JOIN p90 ON p90.series = w.series), lab AS (
+      SELECT *, CASE WHEN count(r) OVER n7 = 7 THEN max(r) OVER n7 END AS m FROM lev
+      WINDOW n7 AS (PARTITION BY series ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING))
+    SELECT series, date, {NAME.format(c='r')} AS level, {NAME.format(c='m')} AS label FROM lab""",
+)
+def label_fire(spark, sf):
+    week = _week(spark, sf)
+    leveled_days = labels.fire_levels(week, thresholds.count_threshold(week))
+    return labels.forward_label(leveled_days.select("series", "date", "level"))
+
+
+@query(
+    "label_drought",
+    f"""WITH RECURSIVE {s.RAIN_ACC}, {s.BY_MONTH}, monthly AS (
+      SELECT series, month_start, CASE WHEN spi > -1 THEN 0 WHEN spi > -1.5e0 THEN 1
+        WHEN spi <= -1.5e0 THEN 2 END AS r FROM z), lev AS (
+      SELECT d.series, d.date, m.r FROM rain d LEFT JOIN monthly m ON m.series = d.series
+        AND m.month_start = date_trunc('month', d.date) - INTERVAL 1 MONTH), lab AS (
+      SELECT *, CASE WHEN count(r) OVER n7 = 7 THEN max(r) OVER n7 END AS m FROM lev
+      WINDOW n7 AS (PARTITION BY series ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING))
+    SELECT series, date, {NAME.format(c='r')} AS level, {NAME.format(c='m')} AS label FROM lab""",
+)
+def label_drought(spark, sf):
+    daily = a.rain(spark, sf)
+    monthly = labels.drought_levels(spi.spi(spi.monthly_totals(daily), 3))
+    return labels.forward_label(labels.levels_by_day(monthly, daily))
+
+
 @query(
     "label_distribution",
     f"""WITH {LABELED} SELECT event, series, CAST(year(date) AS INTEGER) AS year,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date as Date
 
 from pyspark.sql import functions as F
@@ -327,7 +328,7 @@ def threshold_audit(spark, sf):
       count(*) FILTER (WHERE value >= 1 AND smooth > p99_raw) AS over_raw_limit,
       count(*) FILTER (WHERE smooth < -1e-9) AS negative_days, round(min(smooth), 4) AS lowest,
       count(*) FILTER (WHERE value = 0) AS dry_days,
-      count(*) FILTER (WHERE value = 0 AND smooth >= 1) AS dry_turned_wet,
+      count(*) FILTER (WHERE value = 0 AND smooth >= 1 - 1e-9) AS dry_turned_wet,
       sum(value) AS mass_raw, round(sum(smooth), 3) AS mass_smooth,
       round((p99_smooth - p99_raw) / p99_raw * 100, 4) AS p99_shift_pct
     FROM both_ b JOIN lim ON lim.series = b.series GROUP BY b.series, lim.p95_raw, lim.p95_smooth,
@@ -335,15 +336,38 @@ def threshold_audit(spark, sf):
 )
 def filter_audit(spark, sf):
     smoothed = windows.smooth(a.rain(spark, sf))
-    # A smoothed zero may come out as a tiny negative number on either engine.
-    clean = smoothed.withColumn(
-        "smooth", F.when(F.abs("smooth") < 1e-9, 0.0).otherwise(F.col("smooth"))
-    )
+    # A smoothed 0 or 1 may come out a hair off, so values are kept to nine decimals.
+    clean = smoothed.withColumn("smooth", F.round("smooth", 9))
     df = audits.filter_effect(clean, "smooth")
     df = rounded(df, 4, "p95_raw", "p95_smooth", "p99_raw", "p99_smooth", "lowest", "p99_shift_pct")
     return rounded(df, 3, "mass_smooth")
 
 
+def _sweep_sql() -> str:
+    parts, picks = [], []
+    for size in (3, 5, 7, 11):
+        text = _savgol_sql(size, 2, "rain")
+        for name in ("weights", "present", "placed", "target", "smoothed", "filtered"):
+            text = re.sub(rf"\b{name}\b", f"{name}_{size}", text)
+        parts.append(text)
+        picks.append(
+            f"""SELECT f.series, CAST({size} AS INTEGER) AS "window", count(*) AS days,
+              count(*) FILTER (WHERE smooth < -1e-9) AS negative_days,
+              count(*) FILTER (WHERE value = 0 AND smooth >= 1 - 1e-9) AS dry_turned_wet,
+              round(quantile_cont(CASE WHEN value >= 1 THEN smooth END, 0.99), 4) AS p99_smooth
+            FROM filtered_{size} f WHERE value IS NOT NULL GROUP BY 1"""
+        )
+    return f"WITH {a.RAIN_SQL}, " + ", ".join(parts) + " " + " UNION ALL ".join(picks)
+
+
+@query("filter_sweep", _sweep_sql())
+def filter_sweep(spark, sf):
+    df = audits.filter_sweep(a.rain(spark, sf)).select(
+        "series", "window", "days", "negative_days", "dry_turned_wet", "p99_smooth"
+    )
+    return rounded(df, 4, "p99_smooth")
+
+
 # --- monthly index ------------------------------------------------------------------------
 
 MONTHS = """months AS (
@@ -473,7 +497,26 @@ def spi3_pooled(spark, sf):
     return _index(spark, sf, by_month=False)
 
 
-@query("spi_audit")
+_SEASON = "month(month_start) IN (12, 1, 2, 3, 4)"
+_POOLED_TOO = re.sub(r"\b(stats|usable|newton|shapes|fit|cdf|tail|q|z)\b", r"\1_pooled", POOLED)
+
+
+@query(
+    "spi_audit",
+    f"""WITH RECURSIVE {RAIN_ACC}, {BY_MONTH}, {_POOLED_TOO}, both_ AS (
+      SELECT z.series, z.month_start, z.spi AS m, y.spi AS p FROM z JOIN z_pooled y
+        ON y.series = z.series AND y.month_start = z.month_start
+      WHERE z.spi IS NOT NULL AND y.spi IS NOT NULL)
+    SELECT series, count(*) AS months,
+      round(avg(m) FILTER (WHERE {_SEASON}), 4) AS dry_mean_by_month,
+      round(avg(p) FILTER (WHERE {_SEASON}), 4) AS dry_mean_pooled,
+      round(avg(m) FILTER (WHERE NOT {_SEASON}), 4) AS wet_mean_by_month,
+      round(avg(p) FILTER (WHERE NOT {_SEASON}), 4) AS wet_mean_pooled,
+      count(*) FILTER (WHERE m <= -1) AS drought_by_month,
+      count(*) FILTER (WHERE p <= -1) AS drought_pooled,
+      count(*) FILTER (WHERE m <= -1 AND p <= -1) AS drought_both,
+      round(corr(m, p), 4) AS correlation FROM both_ GROUP BY 1""",
+)
 def spi_audit(spark, sf):
     df = spi.spi_audit(spi.monthly_totals(a.rain(spark, sf)))
     return rounded(df, 4, *(c for c in df.columns if "mean" in c or c == "correlation"))

@@ -285,7 +285,19 @@ def table_digest(spark, sf):
     return tables.table_digest(rows)
 
 
-@query("geojson_export")
+@query(
+    "geojson_export",
+    f"""WITH {a.EDGES_SQL}, rings AS (
+      SELECT polygon, part, ring, '[' || string_agg('[' || x1 || ',' || y1 || ']', ',' ORDER BY seq)
+        || ',[' || arg_max(x2, seq) || ',' || arg_max(y2, seq) || ']]' AS t
+      FROM edges GROUP BY 1, 2, 3), parts AS (
+      SELECT polygon, part, '[' || string_agg(t, ',' ORDER BY ring) || ']' AS t FROM rings
+      GROUP BY 1, 2)
+    SELECT CAST(polygon AS VARCHAR) AS code, '{{"type":"Feature","geometry":{{"type":'
+      || '"MultiPolygon","coordinates":[' || string_agg(t, ',' ORDER BY part)
+      || ']}},"properties":{{"code":"' || polygon || '","population":null}}}}' AS feature
+    FROM parts GROUP BY polygon""",
+)
 def geojson_export(spark, sf):
     rows = a.polygons(spark, sf).withColumn("code", F.col("polygon").cast("string"))
     empty = F.lit(None).cast("int").alias("population")
@@ -302,9 +314,28 @@ def export_coverage(spark, sf):
     return risk.export_coverage(geojson_export(spark, sf), known)
 
 
-@query("series_export")
+@query(
+    "series_export",
+    f"""WITH {a.REGIONS_SQL} SELECT series AS district, CAST(year(date) AS INTEGER) AS year,
+      'value' AS variable, 'mm' AS unit, CAST(count(*) AS INTEGER) AS points,
+      CAST(count(*) - count(value) AS INTEGER) AS gaps, min(date) AS first_day,
+      arg_max(CAST(value AS VARCHAR), date) FILTER (WHERE date = (SELECT max(date) FROM regions)
+        OR date = make_date(year(date), 12, 31)) AS last_value
+    FROM regions GROUP BY 1, 2""",
+)
 def series_export(spark, sf):
-    return risk.series_export(a.regions(spark, sf), "value", "mm")
+    nested = risk.series_export(a.regions(spark, sf), "value", "mm")
+    last = F.element_at("points", -1)
+    return nested.select(
+        "district",
+        "year",
+        "variable",
+        "unit",
+        F.size("points").alias("points"),
+        F.size(F.filter("points", lambda p: p["value"].isNull())).alias("gaps"),
+        F.get("points", 0)["date"].alias("first_day"),
+        last["value"].cast("string").alias("last_value"),
+    )
 
 
 @query(

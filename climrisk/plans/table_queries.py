@@ -460,9 +460,15 @@ def legend_counts(spark, sf):
     return risk.legend_counts(_completed(spark, sf))
 
 
-@query("risk_packets")
+@query(
+    "risk_packets",
+    f"""WITH {COMPLETED} SELECT event, code, '{{"code":"' || code || '","date":"{DAY}","level":'
+      || coalesce('"' || level || '"', 'null') || ',"probability":'
+      || coalesce(CAST(round(probability, 3) AS VARCHAR), 'null') || '}}' AS packet
+    FROM completed""",
+)
 def risk_packets(spark, sf):
-    return risk.risk_packets(_completed(spark, sf))
+    return risk.risk_packets(rounded(_completed(spark, sf), 3, "probability"))
 
 
 # --- catalogue ----------------------------------------------------------------------------
