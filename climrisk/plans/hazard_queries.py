@@ -168,10 +168,12 @@ MODES = f"""known AS (
       round(CAST(sum(CASE WHEN rank = 2 THEN c ELSE 0 END) AS DOUBLE) / sum(c), 6) AS probability
       FROM counted GROUP BY 1, 2, 3),
     all_counted AS (SELECT event, rank, count(*) AS c FROM known GROUP BY ALL),
-    all_modes AS (SELECT event, arg_max(rank, c * 10 + rank) AS mode FROM all_counted GROUP BY 1),
+    all_modes AS (SELECT event, arg_max(rank, c * 10 + rank) AS mode,
+      round(CAST(sum(CASE WHEN rank = 2 THEN c ELSE 0 END) AS DOUBLE) / sum(c), 6) AS probability
+      FROM all_counted GROUP BY 1),
     both_ AS (
       SELECT l.series, l.date, l.level, l.label, {NAME.format(c='coalesce(m.mode, am.mode)')}
-        AS baseline, m.probability
+        AS baseline, coalesce(m.probability, am.probability) AS probability
       FROM labeled l LEFT JOIN modes m ON m.series = l.series AND m.month = month(l.date)
       LEFT JOIN all_modes am ON am.event = l.event)"""
 

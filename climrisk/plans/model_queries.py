@@ -8,6 +8,7 @@ from climrisk.operators import evaluation, models, windows
 from climrisk.plans import adapters as a
 from climrisk.plans import hazard_queries as h
 from climrisk.plans.registry import query, rounded
+from climrisk.sources.tables import materialise
 
 FEATURES = ["lag_1", "sum_3", "sum_7", "mean_7", "month"]
 FOLDS = 2
@@ -25,7 +26,7 @@ def training_rows(spark, sf):
 
 
 def _scores(spark, sf, build):
-    folded = training_rows(spark, sf).persist()
+    folded = materialise(training_rows(spark, sf))
     scored = models.evaluate_expanding(lambda: build(FEATURES), folded, FOLDS)
     cells = evaluation.confusion(scored, ["fold"])
     out = evaluation.macro_scores(cells, ["fold"])
@@ -49,7 +50,7 @@ def model_gbt(spark, sf):
 
 @query("model_tune")
 def model_tune(spark, sf):
-    folded = training_rows(spark, sf).persist()
+    folded = materialise(training_rows(spark, sf))
     grid = [{"regParam": 0.001}, {"regParam": 0.1}]
     out = models.tune(
         lambda **p: models.logistic_regression(FEATURES, maxIter=20, **p), grid, folded, FOLDS
@@ -59,14 +60,14 @@ def model_tune(spark, sf):
 
 @query("importance")
 def importance(spark, sf):
-    rows = training_rows(spark, sf).persist()
+    rows = materialise(training_rows(spark, sf))
     model = models.random_forest(FEATURES).train(rows.where(F.col("fold") < FOLDS))
     return models.permutation_importance(model, rows.where(F.col("fold") == FOLDS))
 
 
 @query("explain_linear")
 def explain_linear(spark, sf):
-    rows = training_rows(spark, sf).persist()
+    rows = materialise(training_rows(spark, sf))
     model = models.logistic_regression(FEATURES).train(rows.where(F.col("fold") < FOLDS))
     told = model.explain(model.predict(rows.where(F.col("fold") == FOLDS)))
     return told.select(

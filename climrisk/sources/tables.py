@@ -17,6 +17,25 @@ def working_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """The same rows read back from a table in the shared folder, so later jobs start there.
+
+    It survives lost executors. Without a shared folder the rows are persisted instead.
+    """
+    folder = working_folder(df.sparkSession)
+    if folder is None:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hadoop, True)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
@@ -57,24 +76,26 @@ def upsert_by_year(
     swapped in, so a failure before that point leaves the target as it was. Years the delivery
     does not touch are not read.
     """
-    staging = f"{path.rstrip('/')}__staging/{uuid.uuid4().hex}"
+    root = working_folder(spark) or f"{path.rstrip('/')}__staging"
+    staging = f"{root.rstrip('/')}/upserts/{uuid.uuid4().hex}"
     columns = new.columns
-    delivered = f"{staging}/new"
-    write_by_year(new, delivered, date)
-    incoming = spark.read.parquet(delivered)
-    years = incoming.select("year").distinct()
-    existing = None
-    if table_exists(spark, path):
-        existing = (
-            spark.read.parquet(path).join(years, "year", "left_semi").select(*columns)
-        )
-    merged = latest_by_key(existing, incoming.select(*columns), keys, order)
-    write_by_year(merged, f"{staging}/merged", date)
-    checked = spark.read.parquet(f"{staging}/merged").select(*columns)
-    if validate is not None:
-        validate(checked)
-    write_by_year(checked, path, date)
-    return incoming.count()
+    try:
+        write_by_year(new, f"{staging}/new", date)
+        incoming = spark.read.parquet(f"{staging}/new")
+        existing = None
+        if table_exists(spark, path):
+            years = incoming.select("year").distinct()
+            target = spark.read.parquet(path)
+            existing = target.join(years, "year", "left_semi").select(*columns)
+        merged = latest_by_key(existing, incoming.select(*columns), keys, order)
+        write_by_year(merged, f"{staging}/merged", date)
+        checked = spark.read.parquet(f"{staging}/merged").select(*columns)
+        if validate is not None:
+            validate(checked)
+        write_by_year(checked, path, date)
+        return incoming.count()
+    finally:
+        _remove(spark, staging)
 
 
 def upsert_whole(

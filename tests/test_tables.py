@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -387,6 +388,8 @@ def test_failed_validation_leaves_the_target_alone(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.upsert_by_year(spark, path, deliveries(spark, [("a", EPOCH, 9.0, when(2))]), keys, validate=refuse)
     assert [r.precip_mm for r in spark.read.parquet(path).collect()] == [1.0]
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir")) / "upserts"
+    assert not any(p.is_dir() for p in shared.iterdir()), "staging is cleared"
 
 
 @pytest.mark.parametrize("entity", ["risk", "model_metrics", "quality_report", "province"])
@@ -404,6 +407,14 @@ def test_small_tables_upsert_by_their_own_key(spark, tmp_path, entity):
     assert [r.updated_at for r in tables.read_whole(spark, path).collect()] == [3]
 
 
+def test_intermediate_tables_go_to_the_shared_folder(spark, daily):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    df = daily(a=[1, None, 3])
+    out = tables.materialise(df)
+    assert out.inputFiles() and all(folder in f for f in out.inputFiles())
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
 def test_digest_ignores_order_and_sees_changes(spark):
     rows = [(i, float(i), None if i == 2 else "x", [i]) for i in range(20)]
     schema = "a int, b double, c string, d array<int>"
