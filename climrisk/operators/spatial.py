@@ -18,6 +18,7 @@ CELL = 0.05
 SURFACE_MARGIN, SURFACE_SIDE = 0.03, 180
 COINCIDENT = 1e-9
 POINTS_PER_CHUNK = 512
+FINE, MAX_EDGES = 16, 64
 
 
 def edges(polygons: DataFrame, polygon: str = "polygon", geometry: str = "geometry") -> DataFrame:
@@ -75,9 +76,19 @@ def polygon_index(edge: DataFrame, step: float = CELL, polygon: str = "polygon")
     ends = tuple(map(F.col, ("x1", "y1", "x2", "y2")))
     x1, y1, x2, y2 = ends
     rows = F.sequence(F.floor(F.least(y1, y2)), F.floor(F.greatest(y1, y2)))
-    columns = F.sequence(F.ceil(F.least(x1, x2)) - 1, F.ceil(F.greatest(x1, x2)) - 1)
-    covered = scaled.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(columns))
     line = F.col("cy").cast("double")
+    # Columns the edge can touch between this row's two lines, a cell to spare on either side:
+    # a long slanted edge lists the cells along it, not its whole bounding box.
+    at = lambda y: x1 + (y - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0))
+    enters = at(F.greatest(F.least(y1, y2), line))
+    leaves = at(F.least(F.greatest(y1, y2), line + 1))
+    left = F.coalesce(F.least(enters, leaves), F.least(x1, x2))
+    right = F.coalesce(F.greatest(enters, leaves), F.greatest(x1, x2))
+    columns = F.sequence(
+        F.greatest(F.ceil(left) - 2, F.ceil(F.least(x1, x2)) - 1),
+        F.least(F.ceil(right), F.ceil(F.greatest(x1, x2)) - 1),
+    )
+    covered = scaled.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(columns))
     meets = (y1 <= line) != (y2 <= line)
     right_of = lambda column: geo.crossing_right_of(*ends, column.cast("double"), line)
     # The one cell whose left border the crossing has passed and whose right border it has not.
@@ -129,11 +140,69 @@ def _inside(px, py, cx, corner, cell_edges):
     return (F.coalesce(crossings, F.lit(0)) + corner.cast("int")) % 2 == 1
 
 
+def _holds(px, py, cx):
+    """Test of one candidate cell entry for the point of the row."""
+    return lambda entry: _inside(px, py, cx, entry["corner"], entry["edges"])
+
+
+def refine(
+    index: DataFrame, max_edges: int = MAX_EDGES, polygon: str = "polygon"
+) -> tuple[DataFrame, DataFrame]:
+    """Splits the index into ordinary cells and crowded ones cut into FINE x FINE smaller cells.
+
+    Crowded means more than `max_edges` edges of all polygons together. A small cell gets the
+    edges that can touch it, and its corner bit is decided from the large cell as for any point.
+    FINE is a power of two, so scaling changes no digit and no answer.
+    """
+    checks.window_at_least(max_edges)
+    cell = ["cx", "cy"]
+    crowded = (
+        index.groupBy(*cell)
+        .agg(F.sum(F.coalesce(F.size("edges"), F.lit(0))).alias("_load"))
+        .where(F.col("_load") > max_edges)
+        .select(*cell)
+    )
+    steps = F.sequence(F.lit(0), F.lit(FINE - 1))
+    small = (
+        index.join(crowded, cell, "left_semi")
+        .withColumn("_i", F.explode(steps))
+        .withColumn("_j", F.explode(steps))
+    )
+    corner = _inside(
+        F.col("cx") + (F.col("_i") + 1) / FINE,
+        F.col("cy") + F.col("_j") / FINE,
+        F.col("cx"),
+        F.col("corner"),
+        F.col("edges"),
+    )
+    x, y = F.col("cx") * FINE + F.col("_i"), F.col("cy") * FINE + F.col("_j")
+    larger = lambda e: F.struct(
+        *((e[n] * FINE).alias(n) for n in ("x1", "y1", "x2", "y2"))
+    )
+    touches = lambda e: (
+        (F.ceil(F.least(e["x1"], e["x2"])) - 1 <= x)
+        & (F.ceil(F.greatest(e["x1"], e["x2"])) - 1 >= x)
+        & (F.floor(F.least(e["y1"], e["y2"])) <= y)
+        & (F.floor(F.greatest(e["y1"], e["y2"])) >= y)
+    )
+    # New names first: inside a lambda a name would mean the new column of the same select.
+    fine = small.select(
+        polygon,
+        y.alias("_cy"),
+        x.alias("_cx"),
+        F.filter(F.transform("edges", larger), touches).alias("_edges"),
+        corner.alias("_corner"),
+    ).where(F.col("_corner") | (F.size("_edges") > 0))
+    fine = fine.withColumnsRenamed({f"_{c}": c for c in ("cy", "cx", "edges", "corner")})
+    return index.join(crowded, cell, "left_anti"), fine
+
+
 def locate_points(
     points: DataFrame,
     index: DataFrame,
     step: float = CELL,
     *,
+    fine: DataFrame | None = None,
     lon: str = "lon",
     lat: str = "lat",
     polygon: str = "polygon",
@@ -142,36 +211,34 @@ def locate_points(
     """Points with the polygon holding them; NULL outside all, one row each when several do.
 
     One equi join on the cell, left open, then a test on the row itself: points are never
-    regrouped. `salts` repeats the index to split a cell holding very many points.
+    regrouped. `salts` repeats the index to split a cell holding very many points. With the two
+    tables of `refine`, points of crowded cells are decided in the small ones.
     """
     checks.window_at_least(salts)
-    u, v = F.col(lon) / step, F.col(lat) / step
-    keyed = points.withColumns({"_u": u, "_v": v}).withColumns(
-        {"_cx": F.floor("_u"), "_cy": F.floor("_v")}
-    )
-    candidates = index.groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).agg(
-        F.collect_list(F.struct(polygon, "corner", "edges")).alias("_in")
-    )
-    keys = ["_cx", "_cy"]
-    if salts > 1:
-        candidates = candidates.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        )
-        keyed = keyed.withColumn(
-            "_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int")
+    levels = [(index, 1)] + ([(fine, FINE)] if fine is not None else [])
+    found, hits = points, []
+    for number, (cells, scale) in enumerate(levels):
+        u, v, cx, cy, inside = (f"_{c}{number}" for c in ("u", "v", "cx", "cy", "in"))
+        found = found.withColumns(
+            {u: F.col(lon) / step * scale, v: F.col(lat) / step * scale}
+        ).withColumns({cx: F.floor(u), cy: F.floor(v)})
+        candidates = cells.groupBy(F.col("cx").alias(cx), F.col("cy").alias(cy)).agg(
+            F.collect_list(F.struct(polygon, "corner", "edges")).alias(inside)
         )
-        keys.append("_salt")
-    hits = F.transform(
-        F.filter(
-            "_in",
-            lambda c: _inside(F.col("_u"), F.col("_v"), F.col("_cx"), c["corner"], c["edges"]),
-        ),
-        lambda c: c[polygon],
-    )
-    return (
-        keyed.join(candidates, keys, "left")
-        .withColumn("_hits", hits)
-        .select(*points.columns, F.explode_outer("_hits").alias(polygon))
+        keys = [cx, cy]
+        if salts > 1:
+            candidates = candidates.withColumn(
+                "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+            )
+            found = found.withColumn("_salt", salt)
+            keys.append("_salt")
+        found = found.join(candidates, keys, "left")
+        none = F.array().cast(candidates.schema[inside].dataType)
+        holding = F.filter(F.coalesce(inside, none), _holds(*map(F.col, (u, v, cx))))
+        hits.append(F.transform(holding, lambda c: c[polygon]))
+    return found.withColumn("_hits", F.concat(*hits)).select(
+        *points.columns, F.explode_outer("_hits").alias(polygon)
     )
 
 

@@ -56,15 +56,21 @@ def inside(shape, x, y):
     return odd
 
 
-@pytest.mark.parametrize("step,salts", [(0.05, 1), (0.3, 3), (1.0, 1), (10.0, 1)])
-def test_points_find_their_polygons(spark, edge, shapes, step, salts):
+@pytest.mark.parametrize(
+    "step,salts,crowd", [(0.05, 1, None), (0.3, 3, None), (1.0, 1, 3), (1.0, 2, 12), (10.0, 1, 1)]
+)
+def test_points_find_their_polygons(spark, edge, shapes, step, salts, crowd):
     r = random.Random(4)
     pts = [(i, r.uniform(-6, 9), r.uniform(-1, 9)) for i in range(1500)]
     pts += [(2000, 0.0, 0.0), (2001, 1.0, 0.5), (2002, 0.5, 1.0), (2003, 2.5, 1.0), (2004, 0.5, 0.0)]
     df = spark.createDataFrame(pts, "id int, lon double, lat double")
-    index = spatial.polygon_index(edge, step)
+    index, fine = spatial.polygon_index(edge, step), None
+    if crowd is not None:
+        whole = index
+        index, fine = spatial.refine(whole, crowd)
+        assert 0 < fine.count() and index.count() < whole.count()
     got = {}
-    for row in spatial.locate_points(df, index, step, salts=salts).collect():
+    for row in spatial.locate_points(df, index, step, fine=fine, salts=salts).collect():
         got.setdefault(row.id, []).append(row.polygon)
     for i, x, y in pts:
         want = sorted(n for n, s in shapes.items() if inside(s, x, y)) or [None]
