@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climrisk.llm import decontaminate, packing, vafile
+from climrisk.llm import decontaminate, packing, quality, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +80,13 @@ def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_best_fit_packing")
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), limit=4096, end=1)
+
+
+@query("op3_quality_neighbours")
+def op3_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.3)
+
+
+@query("op4_toxicity_compression")
+def op4_toxicity_compression(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.5)
