@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task holds at a time.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Keys that one counting task holds at a time; 32-bit remainders then clash about once in a thousand.
 BUCKET_KEYS = 4 << 20
 

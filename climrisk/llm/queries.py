@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climrisk.llm import decontaminate, packing, quality, toxicity, vafile
+from climrisk.llm import decontaminate, packing, quality, substrings, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +90,24 @@ def op3_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_toxicity_compression")
 def op4_toxicity_compression(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.5)
+
+
+@query(
+    "op7_substring_dedup",
+    """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    t AS (SELECT doc_id, p, hash(w[p:p + 12]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+    f AS (SELECT g, min(doc_id) AS first FROM t GROUP BY g),
+    c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM t JOIN f USING (g) WHERE first < doc_id),
+    r AS (SELECT doc_id, count(*) AS n, list(q) AS q FROM c GROUP BY doc_id),
+    k AS (SELECT doc_id, string_agg(w[q], ' ' ORDER BY q) AS kept
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS q FROM d) a ANTI JOIN c USING (doc_id, q)
+          GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
+)
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.deduplicate(_table(spark, folder, "documents"), width=13)
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
