@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climrisk.llm import decontaminate, packing, quality, substrings, toxicity, vafile
+from climrisk.llm import decontaminate, jaccard, packing, quality, substrings, suffixarray, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +111,31 @@ def op4_toxicity_compression(spark: SparkSession, folder: str) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substrings.deduplicate(_table(spark, folder, "documents"), width=13)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op9_suffix_array_dedup")
+def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffixarray.deduplicate(_table(spark, folder, "documents"), width=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query(
+    "op10_ngram_jaccard_join",
+    """
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    s AS (SELECT DISTINCT doc_id, hash(w[p:p + k - 1], k) AS g
+          FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p
+                FROM (SELECT *, least(5, len(w)) AS k FROM d WHERE len(w) > 0))),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+          GROUP BY 1, 2),
+    e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o)),
+    r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+    SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id
+    FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY x) USING (doc_id)
+    """,
+)
+def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar(_table(spark, folder, "documents"), words_each=5, percent=80)
