@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climrisk.llm import decontaminate, jaccard, packing, quality, substrings, suffixarray, toxicity, vafile
+from climrisk.llm import decontaminate, jaccard, lengths, packing, quality, substrings, suffixarray, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,3 +139,8 @@ def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar(_table(spark, folder, "documents"), words_each=5, percent=80)
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return lengths.with_suffix_sums(lengths.histogram(_table(spark, folder, "documents")))
