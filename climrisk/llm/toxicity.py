@@ -21,7 +21,7 @@ SAMPLE, VOCABULARY, DICTIONARY, LEVEL = 20_000, 4000, 4096, 6
 #: this run behind a window lets matches start anywhere in it and makes every window shrink.
 _PAD = b"#" * 40
 #: Windows whose difference one worker remembers; beyond that the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def window(word: str) -> bytes:
