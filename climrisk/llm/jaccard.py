@@ -263,3 +263,18 @@ def similar(docs: DataFrame, words_each: int = 5, percent: int = 80, chunk_bytes
         every.join(reach.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     )
+
+
+def keep_one(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` whose doc_id is the smallest of its component; all columns kept.
+
+    Rows without doc_id stay. A repeated row is one document: of rows with equal doc_id one stays.
+    """
+    stays = (
+        similar(docs.select("doc_id", "text"), words_each, percent)
+        .where("doc_id = component_id")
+        .select(F.col("doc_id").alias("_stays"))
+        .distinct()
+    )
+    named = docs.join(stays, docs["doc_id"] == stays["_stays"]).drop("_stays").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL"))

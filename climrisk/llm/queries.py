@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climrisk.llm import decontaminate, jaccard, lengths, packing, quality, substrings, suffixarray, toxicity, vafile
+from climrisk.llm import decontaminate, jaccard, lengths, lines, packing, quality, substrings, suffixarray, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +144,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.with_suffix_sums(lengths.histogram(_table(spark, folder, "documents")))
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.deduplicate(_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
