@@ -184,9 +184,12 @@ def series_totals(df: DataFrame, *, value: str = "value", series: str = "series"
 def quality_report(
     dense: DataFrame, columns, source: str, *, series: str = "series", date: str = "date"
 ) -> DataFrame:
-    """Expected and present values, share missing and main filling method per variable."""
+    """Expected and present values, share missing and main filling method per variable.
+
+    The main method is the one of most days; of equals, the first by name.
+    """
     method = (
-        F.max("imputation_method") if "imputation_method" in dense.columns
+        F.mode("imputation_method", True) if "imputation_method" in dense.columns
         else F.lit(IMPUTATION_METHODS[0])
     )
     facts = dense.groupBy(series).agg(

@@ -43,7 +43,14 @@ def map_categories(
 def catalog_errors(
     df: DataFrame, known_codes: DataFrame, today=None, *, code: str = "district"
 ) -> DataFrame:
-    """Rows with the list of rules they break; an empty list marks a valid row."""
+    """Rows with the list of rules they break; an empty list marks a valid row.
+
+    Dates that could not be read break a rule of their own where their texts came along.
+    """
+    unreadable = {
+        when: F.col(f"{when}_unreadable").isNotNull() if f"{when}_unreadable" in df.columns else F.lit(False)
+        for when in ("start", "end")
+    }
     day = F.lit(today).cast("date") if today is not None else F.current_date()
     known = known_codes.select(F.col("code").alias(code), F.lit(True).alias("_known")).distinct()
     c = F.col
@@ -51,7 +58,8 @@ def catalog_errors(
         F.array(
             F.when(c("_known").isNull(), "unknown district"),
             F.when(~F.coalesce(c("event").isin(*EVENTS), F.lit(False)), "unknown event"),
-            F.when(c("start_date").isNull(), "start missing"),
+            F.when(unreadable["start"], "start unreadable").when(c("start_date").isNull(), "start missing"),
+            F.when(unreadable["end"], "end unreadable"),
             F.when(c("end_date") < c("start_date"), "end before start"),
             F.when(c("start_date") > day, "start in the future"),
             F.when(F.coalesce(F.trim("source"), F.lit("")) == "", "source missing"),

@@ -63,7 +63,7 @@ def smooth(
     variable: str | None = None,
     **where,
 ) -> DataFrame:
-    """Local polynomial smoothing of every gap-free run, on a dense calendar.
+    """Local polynomial smoothing of every gap-free run; a day without a row is a gap too.
 
     Inside a run each value is a fixed weighting of its neighbours. The first and last
     half-window take the polynomial of the run's first or last `window` values. Runs shorter
@@ -78,8 +78,8 @@ def smooth(
     def build(f):
         at = {0: F.col(value)}
         for k in range(1, reach + 1):
-            at[-k] = F.lag(value, k).over(f.ordered)
-            at[k] = F.lead(value, k).over(f.ordered)
+            at[-k] = F.max(value).over(f.days(-k, -k))
+            at[k] = F.max(value).over(f.days(k, k))
         return {f"_at{i + reach}": at[i] for i in range(-reach, reach + 1)}
 
     near = framed(df, reach, reach, build, **where)
@@ -200,16 +200,15 @@ def resample(
     checks.window_at_least(factor)
     aggregates = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
     checks.one_of("aggregation", how, aggregates)
-    starts = df.groupBy(series).agg(F.min(date).alias("_start"))
+    starts = df.groupBy(series).agg(F.min(date).alias("_start"), F.max(date).alias("_end"))
     block = F.floor(F.datediff(date, "_start") / factor).cast("int")
-    missing = F.count("*") - F.count(value)
+    # Absent days count as unmeasured ones: a block's length comes from the calendar.
+    length = F.least(F.lit(factor), F.datediff("_end", F.date_add("_start", F.col("block") * factor)) + 1)
     return (
         df.join(starts, series)
-        .groupBy(series, "_start", block.alias("block"))
-        .agg(
-            F.when(missing * 2 <= F.count("*"), aggregates[how](value)).alias("value"),
-            F.count(value).alias("present"),
-        )
+        .groupBy(series, "_start", "_end", block.alias("block"))
+        .agg(aggregates[how](value).alias("value"), F.count(value).alias("present"))
+        .withColumn("value", F.when(F.col("present") * 2 >= length, F.col("value")))
         .withColumn("block_start", F.date_add("_start", F.col("block") * factor))
         .select(series, "block", "block_start", "present", "value")
     )
@@ -223,28 +222,55 @@ def lagged_features(
     *,
     value: str = "value",
     date: str = "date",
+    audit: bool = False,
     **where,
 ) -> DataFrame:
-    """Lags, strict sums and means of days up to the row's own, never later ones."""
-    reach = max([*lags, *(w - 1 for w in (*sums, *means))])
+    """Lags, strict sums and means of days up to the row's own.
+
+    `touched` is the latest day that any feature read. With audit=True, touched_<feature> tells it
+    for each, from the very frame that the feature is made of. A negative lag reads a later day.
+    """
+    before = max([0, *lags, *(w - 1 for w in (*sums, *means))])
+    after = max([0, *(-k for k in lags)])
 
     def build(f):
         v = F.col(value)
-        made = {f"lag_{k}": F.max(v).over(f.days(-k, -k)) for k in lags}
-        made |= {f"sum_{w}": strict_sum(f.days(-(w - 1), 0), v, w) for w in sums}
-        made |= {f"mean_{w}": F.avg(v).over(f.days(-(w - 1), 0)) for w in means}
-        made["touched"] = F.max(date).over(f.days(-reach, 0))
-        return made
+        frames = {_lag_name(k): f.days(-k, -k) for k in lags}
+        frames |= {f"sum_{w}": f.days(-(w - 1), 0) for w in sums}
+        frames |= {f"mean_{w}": f.days(-(w - 1), 0) for w in means}
+        made = {_lag_name(k): F.max(v).over(frames[_lag_name(k)]) for k in lags}
+        made |= {f"sum_{w}": strict_sum(frames[f"sum_{w}"], v, w) for w in sums}
+        made |= {f"mean_{w}": F.avg(v).over(frames[f"mean_{w}"]) for w in means}
+        return made | {f"touched_{n}": F.max(date).over(frame) for n, frame in frames.items()}
+
+    out = framed(df, before, after, build, date=date, **where)
+    each = [c for c in out.columns if c.startswith("touched_")]
+    latest = F.greatest(*each) if len(each) > 1 else F.col(each[0])
+    out = out.withColumn("touched", latest)
+    return out if audit else out.drop(*each)
+
 
-    return framed(df, reach, 0, build, date=date, **where)
+def _lag_name(k: int) -> str:
+    return f"lag_{k}" if k >= 0 else f"ahead_{-k}"
 
 
-def leak_audit(features: DataFrame, *, date: str = "date", touched: str = "touched") -> DataFrame:
-    """Rows whose features reached past their own day; a sound table gives zero."""
-    return features.agg(
-        F.count("*").alias("rows"),
-        F.count_if(F.col(touched) > F.col(date)).alias("violations"),
-        F.max(F.datediff(touched, date)).alias("latest_offset_days"),
+def leak_audit(features: DataFrame, *, date: str = "date") -> DataFrame:
+    """Per feature: rows, rows that read a day after their own, and how far; a sound one has none.
+
+    Reads the touched_<feature> columns, or `touched` alone where there are no others.
+    """
+    each = [c for c in features.columns if c.startswith("touched_")] or ["touched"]
+    read = F.explode(
+        F.array(*(F.struct(F.lit(c.removeprefix("touched_")).alias("feature"), F.col(c).alias("day")) for c in each))
+    )
+    return (
+        features.select(date, read.alias("r"))
+        .groupBy(F.col("r.feature").alias("feature"))
+        .agg(
+            F.count("*").alias("rows"),
+            F.count_if(F.col("r.day") > F.col(date)).alias("violations"),
+            F.max(F.datediff("r.day", date)).alias("latest_offset_days"),
+        )
     )
 
 

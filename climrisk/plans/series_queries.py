@@ -147,11 +147,27 @@ def features(spark, sf):
 
 @query(
     "leak_audit",
-    f"""WITH {a.REGIONS_SQL} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS violations,
-      CAST(0 AS INTEGER) AS latest_offset_days FROM regions""",
+    f"""WITH {a.REGIONS_SQL}, own AS (
+      SELECT date, lag(date, 1) OVER s AS lag_1, lag(date, 7) OVER s AS lag_7, lead(date, 3) OVER s AS ahead_3,
+        max(date) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS sum_7
+      FROM regions WINDOW s AS (PARTITION BY series ORDER BY date)),
+    each AS (
+      SELECT 'sound' AS features, 'lag_1' AS feature, date, lag_1 AS day FROM own
+      UNION ALL SELECT 'sound', 'lag_7', date, lag_7 FROM own
+      UNION ALL SELECT 'sound', 'sum_7', date, sum_7 FROM own
+      UNION ALL SELECT 'leaking', 'lag_1', date, lag_1 FROM own
+      UNION ALL SELECT 'leaking', 'ahead_3', date, ahead_3 FROM own)
+    SELECT features, feature, count(*) AS rows, count(*) FILTER (WHERE day > date) AS violations,
+      CAST(max(date_diff('day', date, day)) AS INTEGER) AS latest_offset_days
+    FROM each GROUP BY 1, 2""",
 )
 def leak_audit(spark, sf):
-    return windows.leak_audit(windows.lagged_features(a.regions(spark, sf)))
+    # One sound table of features, and one that reads three days ahead.
+    made = lambda lags, sums: windows.leak_audit(
+        windows.lagged_features(a.regions(spark, sf), lags, sums, (), audit=True)
+    )
+    sound, leaking = made((1, 7), (7,)), made((1, -3), ())
+    return sound.withColumn("features", F.lit("sound")).unionByName(leaking.withColumn("features", F.lit("leaking")))
 
 
 _NEIGHBOURS = """

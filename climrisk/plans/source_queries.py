@@ -12,7 +12,7 @@ from climrisk.plans.registry import query, rounded
 from climrisk.schemas import REANALYSIS_COLUMNS, REANALYSIS_UNITS
 from climrisk.sources import payloads, tables
 
-# Each month of a supplier is one response, so a payload never exceeds 31 days.
+# A supplier's whole series is one response, as a climate service sends it.
 _PARAMETERS = {
     "T2M_MAX": "max(l_quantity)",
     "T2M_MIN": "min(l_quantity)",
@@ -24,7 +24,7 @@ _PARAMETERS = {
 
 
 def reanalysis_payloads(spark, sf):
-    """Climate responses as JSON text, one per supplier and month; some declare a wrong unit."""
+    """Climate responses as JSON text, one per supplier; some declare a wrong unit."""
     spark_sql = {
         "T2M_MAX": F.max("l_quantity"),
         "T2M_MIN": F.min("l_quantity"),
@@ -39,7 +39,7 @@ def reanalysis_payloads(spark, sf):
         .groupBy("l_suppkey", day.alias("date"))
         .agg(*(v.alias(p) for p, v in spark_sql.items()))
     )
-    month = daily.groupBy("l_suppkey", F.trunc("date", "month").alias("month")).agg(
+    whole = daily.groupBy("l_suppkey").agg(
         *(
             F.map_from_entries(
                 F.collect_list(F.struct(F.date_format("date", "yyyyMMdd"), F.col(p)))
@@ -59,7 +59,7 @@ def reanalysis_payloads(spark, sf):
         F.struct(*(units(p, u).alias(p) for p, u in REANALYSIS_UNITS.items())).alias("parameters"),
         F.struct(F.struct(*(F.col(p) for p in spark_sql)).alias("parameter")).alias("properties"),
     )
-    return month.select("l_suppkey", "month", F.to_json(doc).alias("payload"))
+    return whole.select("l_suppkey", F.to_json(doc).alias("payload"))
 
 
 _DAILY = f"""daily AS (
@@ -99,13 +99,12 @@ def fill_to_null(spark, sf):
 
 @query(
     "unit_mismatch",
-    """SELECT l_suppkey, CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS month,
-      'T2M' AS parameter, 'C' AS expected, 'K' AS declared
-    FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY 1, 2""",
+    """SELECT DISTINCT l_suppkey, 'T2M' AS parameter, 'C' AS expected, 'K' AS declared
+    FROM lineitem WHERE l_suppkey % 5 = 0""",
 )
 def unit_mismatch(spark, sf):
     parsed = payloads.parse_reanalysis(reanalysis_payloads(spark, sf))
-    return payloads.unit_mismatches(parsed, ("l_suppkey", "month"))
+    return payloads.unit_mismatches(parsed, ("l_suppkey",))
 
 
 def rain_payloads(spark, sf):
@@ -245,11 +244,22 @@ def src_geojson(spark, sf):
 
 @query(
     "src_events_csv",
-    f"""WITH {a.CATALOG_SQL} SELECT event_id, district, start_date, end_date, severity, source,
+    f"""WITH {a.CATALOG_SQL} SELECT event_id, district, CASE WHEN event_id % 50 <> 7 THEN start_date END AS start_date,
+      CASE WHEN event_id % 50 = 7 THEN '2000-13-45' END AS start_unreadable,
+      CASE WHEN event_id % 50 <> 8 THEN end_date END AS end_date,
+      CASE WHEN event_id % 50 = 8 THEN 'soon' END AS end_unreadable, severity, source,
       description FROM catalog""",
 )
 def src_events_csv(spark, sf):
+    # Some start and end dates are no dates.
     raw = a.raw_catalog(spark, sf).withColumn("event", F.lit(" "))
+    odd = F.pmod(F.col("event_id"), F.lit(50))
+    raw = raw.withColumns(
+        {
+            "start_date": F.when(odd == 7, F.lit("2000-13-45")).otherwise(F.col("start_date")),
+            "end_date": F.when(odd == 8, F.lit("soon")).otherwise(F.col("end_date")),
+        }
+    )
     return payloads.clean_event_rows(raw).drop("event", "kind")
 
 
@@ -272,17 +282,38 @@ def src_hotspots(spark, sf):
 
 @query(
     "table_digest",
-    """SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(sha256(
-      CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR) || '|'
-      || CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus), 1, 15) AS BIGINT)) AS VARCHAR)
-      AS digest FROM orders""",
+    """WITH named AS (SELECT 'orders' AS name, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS a,
+        CAST(o_custkey AS VARCHAR) AS b, CAST(o_orderkey AS VARCHAR) AS c, o_orderstatus AS d,
+        CAST(o_totalprice AS VARCHAR) AS e FROM orders
+      UNION ALL SELECT * FROM (VALUES
+        ('bar_left', 'a|b', 'c', '1.0', NULL, NULL), ('bar_right', 'a', 'b|c', '1.0000000001', NULL, NULL),
+        ('null_text', NULL, NULL, NULL, NULL, NULL), ('null_word', '\\N', 'N', NULL, NULL, NULL))),
+    t AS (SELECT name, sha256(concat(
+        coalesce(length(a) || ':' || a, 'N'), coalesce(length(b) || ':' || b, 'N'),
+        coalesce(length(c) || ':' || c, 'N'), CASE WHEN name = 'orders' THEN coalesce(length(d) || ':' || d, 'N') ELSE '' END,
+        CASE WHEN name = 'orders' THEN coalesce(length(e) || ':' || e, 'N') ELSE '' END)) AS h FROM named)
+    SELECT name, count(*) AS rows, concat_ws('-',
+      sum(CAST('0x' || substr(h, 1, 16) AS UBIGINT)), sum(CAST('0x' || substr(h, 17, 16) AS UBIGINT)),
+      sum(CAST('0x' || substr(h, 33, 16) AS UBIGINT)), sum(CAST('0x' || substr(h, 49, 16) AS UBIGINT))) AS digest
+    FROM t GROUP BY name""",
 )
 def table_digest(spark, sf):
-    # Columns are hashed in name order.
-    rows = a.table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", F.to_date("o_orderdate").alias("c_day")
+    # Columns are hashed in name order. The small tables are pairs that careless texts confuse.
+    orders = a.table(spark, sf, "orders").select(
+        F.to_date("o_orderdate").alias("a"), F.col("o_custkey").alias("b"), F.col("o_orderkey").alias("c"),
+        F.col("o_orderstatus").alias("d"), F.col("o_totalprice").alias("e"),
     )
-    return tables.table_digest(rows)
+    pairs = {
+        "bar_left": ("a|b", "c", 1.0),
+        "bar_right": ("a", "b|c", 1.0000000001),
+        "null_text": (None, None, None),
+        "null_word": ("\\N", "N", None),
+    }
+    out = tables.table_digest(orders).withColumn("name", F.lit("orders"))
+    for name, row in pairs.items():
+        one = spark.createDataFrame([row], "a string, b string, c double")
+        out = out.unionByName(tables.table_digest(one).withColumn("name", F.lit(name)))
+    return out.select("name", "rows", "digest")
 
 
 @query(

@@ -183,15 +183,28 @@ def series_totals(spark, sf):
 
 @query(
     "quality_report",
-    f"""WITH {a.STATIONS_SQL} SELECT series, 'satelite' AS source, 'value' AS variable,
+    f"""WITH {a.STATIONS_SQL}, {a.MEASUREMENTS_SQL}, many AS (
+      SELECT district, imputation_method, count(*) AS n FROM measurements GROUP BY 1, 2)
+    SELECT CAST(series AS VARCHAR) AS series, 'satelite' AS source, 'value' AS variable,
       min(date) AS period_start, max(date) AS period_end, count(*) AS expected,
       count(value) AS present, round((count(*) - count(value)) * 100e0 / count(*), 6)
         AS pct_missing, 'sin_imputar' AS imputation_method
-    FROM stations GROUP BY 1""",
+    FROM stations GROUP BY 1
+    UNION ALL
+    SELECT district, 'power', v, min(date), max(date), count(*), count(x),
+      round((count(*) - count(x)) * 100e0 / count(*), 6),
+      any_value((SELECT imputation_method FROM many WHERE many.district = m.district
+        ORDER BY n DESC, imputation_method LIMIT 1))
+    FROM (SELECT district, date, 'humidity_pct' AS v, humidity_pct AS x FROM measurements
+      UNION ALL SELECT district, date, 'precip_mm', precip_mm FROM measurements) m GROUP BY 1, 3""",
 )
 def quality_report(spark, sf):
-    df = audits.quality_report(a.stations(spark, sf), ("value",), "satelite")
-    return rounded(df, 6, "pct_missing")
+    plain = audits.quality_report(a.stations(spark, sf), ("value",), "satelite")
+    filled = audits.quality_report(
+        a.measurements(spark, sf), ("humidity_pct", "precip_mm"), "power", series="district"
+    ).withColumnRenamed("district", "series")
+    both = plain.withColumn("series", F.col("series").cast("string")).unionByName(filled)
+    return rounded(both, 6, "pct_missing")
 
 
 @query(
@@ -477,7 +490,7 @@ def risk_packets(spark, sf):
 def clean_catalog(spark, sf):
     return catalog.map_categories(
         payloads.clean_event_rows(a.raw_catalog(spark, sf).withColumn("event", F.lit(None).cast("string")))
-        .drop("event")
+        .drop("event", "start_unreadable", "end_unreadable")
     )
 
 
@@ -510,15 +523,28 @@ def events_filter(spark, sf):
     f"""WITH {a.CATALOG_SQL} SELECT event_id, district, event, concat_ws('; ',
       CASE WHEN district = 'AFRICA' THEN 'unknown district' END,
       CASE WHEN event IS NULL THEN 'unknown event' END,
-      CASE WHEN end_date < start_date THEN 'end before start' END,
-      CASE WHEN start_date > DATE '2001-06-30' THEN 'start in the future' END,
-      CASE WHEN source IS NULL THEN 'source missing' END) AS problems FROM mapped""",
+      CASE WHEN event_id % 50 = 7 THEN 'start unreadable' END,
+      CASE WHEN event_id % 50 = 8 THEN 'end unreadable' END,
+      CASE WHEN event_id % 50 NOT IN (7, 8) AND end_date < start_date THEN 'end before start' END,
+      CASE WHEN event_id % 50 <> 7 AND start_date > DATE '2001-06-30' THEN 'start in the future' END,
+      CASE WHEN source IS NULL THEN 'source missing' END,
+      CASE WHEN event_id % 50 = 9 THEN 'unknown severity' END) AS problems FROM mapped""",
 )
 def audit_catalog(spark, sf):
+    # Some dates are no dates, and some severities are none.
     known = a.table(spark, sf, "region").where("r_name <> 'AFRICA'").select(
         F.col("r_name").alias("code")
     )
-    checked = catalog.catalog_errors(clean_catalog(spark, sf), known, LAST_DAY)
+    odd = F.pmod(F.col("event_id"), F.lit(50))
+    raw = a.raw_catalog(spark, sf).withColumns(
+        {
+            "start_date": F.when(odd == 7, F.lit("2000-13-45")).otherwise(F.col("start_date")),
+            "end_date": F.when(odd == 8, F.lit("soon")).otherwise(F.col("end_date")),
+            "severity": F.when(odd == 9, F.lit("enorme")).otherwise(F.col("severity")),
+        }
+    )
+    rows = catalog.map_categories(payloads.clean_event_rows(raw.withColumn("event", F.lit(" "))))
+    checked = catalog.catalog_errors(rows, known, LAST_DAY)
     return checked.select(
         "event_id", "district", "event", F.concat_ws("; ", "errors").alias("problems")
     )

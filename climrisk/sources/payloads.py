@@ -101,15 +101,21 @@ def reanalysis_daily(
             "map<string, map<string, double>>"
         )
     )
-    opened = parsed.select(*keys, fill.alias("_fill"), checked.alias("_s"))
-    days = F.array_distinct(
-        F.flatten(F.transform(F.map_values("_s"), lambda one: F.map_keys(one)))
+    # A day's values of all parameters meet by one aggregation, so the work is linear in days.
+    def days_of(p):
+        named = lambda e: F.struct(F.lit(p).alias("p"), e["key"].alias("day"), e["value"].alias("v"))
+        return F.transform(F.map_entries(F.col("_s")[p]), named)
+
+    entries = F.flatten(F.array(*map(days_of, columns)))
+    opened = parsed.select(
+        F.monotonically_increasing_id().alias("_payload"), *keys, fill.alias("_fill"), checked.alias("_s")
     )
-    value = lambda p: F.try_element_at(F.col("_s")[p], F.col("_day"))
-    return opened.select(*keys, "_fill", "_s", F.explode(days).alias("_day")).select(
-        *keys,
-        F.to_date("_day", "yyyyMMdd").alias("date"),
-        *(fill_to_null(value(p), F.col("_fill")).alias(name) for p, name in columns.items()),
+    value = lambda p: F.max(F.when(F.col("_e.p") == p, F.col("_e.v")))
+    return (
+        opened.select("_payload", *keys, "_fill", F.explode(entries).alias("_e"))
+        .groupBy("_payload", *keys, "_fill", F.col("_e.day").alias("_day"))
+        .agg(*(fill_to_null(value(p), F.col("_fill")).alias(name) for p, name in columns.items()))
+        .select(*keys, F.to_date("_day", "yyyyMMdd").alias("date"), *columns.values())
     )
 
 
@@ -206,11 +212,16 @@ def read_geojson(
 
 
 def clean_event_rows(df: DataFrame) -> DataFrame:
-    """Trimmed text, blank to NULL, ISO dates; an unreadable date is NULL and a rule break."""
+    """Trimmed text, blank to NULL, ISO dates.
+
+    An unreadable date is NULL, and its text stays in start_unreadable or end_unreadable: a rule
+    break, not an absent date.
+    """
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     out = {f.name: blank(f.name) for f in EVENT_CSV}
     for c in ("start_date", "end_date"):
         out[c] = F.try_to_date(blank(c), "yyyy-MM-dd")
+        out[f"{c.removesuffix('_date')}_unreadable"] = F.when(out[c].isNull(), blank(c))
     return df.withColumns(out)
 
 

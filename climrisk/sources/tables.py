@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import operator
+import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +23,19 @@ def working_folder(spark: SparkSession) -> str | None:
 def materialise(df: DataFrame) -> DataFrame:
     """The same rows read back from a table in the shared folder, so later jobs start there.
 
-    It survives lost executors. Without a shared folder the rows are persisted instead.
+    It survives lost executors and is removed when the session ends. Only where no shared folder is
+    set, as in tests, a temporary one takes its place.
     """
-    folder = working_folder(df.sparkSession)
+    spark = df.sparkSession
+    folder = working_folder(spark)
     if folder is None:
-        return df.persist()
+        folder = tempfile.mkdtemp(prefix="climrisk-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -74,7 +82,8 @@ def upsert_by_year(
 
     The merged years are written to a staging table first and checked there. Only then are they
     swapped in, so a failure before that point leaves the target as it was. Years the delivery
-    does not touch are not read.
+    does not touch are not read. A delivery with a NULL key or date is refused: such a row belongs
+    to no year and meets no other row.
     """
     root = working_folder(spark) or f"{path.rstrip('/')}__staging"
     staging = f"{root.rstrip('/')}/upserts/{uuid.uuid4().hex}"
@@ -82,6 +91,10 @@ def upsert_by_year(
     try:
         write_by_year(new, f"{staging}/new", date)
         incoming = spark.read.parquet(f"{staging}/new")
+        required = [date, *([keys] if isinstance(keys, str) else keys)]
+        lacking = reduce(operator.or_, [F.col(c).isNull() for c in required])
+        if not incoming.where(lacking).isEmpty():
+            raise ValueError(f"a delivered row has a NULL among {required}")
         existing = None
         if table_exists(spark, path):
             years = incoming.select("year").distinct()
@@ -133,35 +146,51 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def _as_text(df: DataFrame):
-    """Stable text of each column; NULL is told apart from the empty text."""
+    """One text per row, columns in name order, each after its length; NULL is `N` without one.
+
+    Doubles keep the shortest text that reads back as the same number.
+    """
     texts = []
     for f in sorted(df.schema, key=lambda f: f.name):
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.format_number(c, 6)
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            c = F.to_json(c)
-        texts.append(F.coalesce(c.cast("string"), F.lit("\\N")))
-    return F.concat_ws("|", *texts)
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            c = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+            c = F.when(F.col(f"`{f.name}`").isNotNull(), c)
+        elif isinstance(f.dataType, T.BinaryType):
+            c = F.hex(c)
+        text = c.cast("string")
+        texts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("N")))
+    return F.concat(*texts)
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """Order-free content digest: row count and the sum of per-row hash prefixes.
+    """Order-free content digest: row count, and the sums of the four quarters of each row's SHA-256.
 
-    Equal rows give equal digests on any cluster, whatever the order or partitioning.
+    Equal rows give equal digests on any cluster, whatever the order or partitioning; repeated
+    rows count. A sum holds 10**18 rows.
     """
-    head = F.conv(F.substring(F.sha2(_as_text(df), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.sum(head), F.lit(0)).cast("string").alias("digest"),
-    )
+    whole = F.sha2(_as_text(df), 256)
+    sums = [
+        F.coalesce(F.sum(F.conv(F.substring(whole, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)")).cast("string")
+        for i in range(4)
+    ]
+    return df.agg(F.count("*").alias("rows"), F.concat_ws("-", *sums).alias("digest"))
 
 
 def write_snapshot(spark: SparkSession, df: DataFrame, root: str, date: str = "date") -> dict:
-    """Stores a table under its own digest and returns the manifest row, also written beside."""
+    """Stores a table under its own digest and returns the manifest row, also written beside.
+
+    A table that is stored already isn't written again, after its rows were compared.
+    """
     draft = f"{root.rstrip('/')}/_draft/{uuid.uuid4().hex}"
-    write_by_year(df, draft, date)
-    stored = spark.read.parquet(draft).select(*df.columns)
+    try:
+        write_by_year(df, draft, date)
+        return _keep_snapshot(spark, spark.read.parquet(draft).select(*df.columns), root, date)
+    finally:
+        _remove(spark, draft)
+
+
+def _keep_snapshot(spark: SparkSession, stored: DataFrame, root: str, date: str) -> dict:
     facts = table_digest(stored).first()
     ends = stored.agg(F.min(date).alias("lo"), F.max(date).alias("hi")).first()
     manifest = {
@@ -174,4 +203,8 @@ def write_snapshot(spark: SparkSession, df: DataFrame, root: str, date: str = "d
     if not table_exists(spark, f"{manifest['path']}/_SUCCESS"):
         write_by_year(stored, manifest["path"], date, replace="static")
         spark.createDataFrame([manifest]).write.mode("append").json(f"{root}/_manifest")
+        return manifest
+    there = spark.read.parquet(manifest["path"]).select(*stored.columns)
+    if not (stored.exceptAll(there).isEmpty() and there.exceptAll(stored).isEmpty()):
+        raise ValueError(f"other rows are stored under {manifest['path']}")
     return manifest

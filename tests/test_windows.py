@@ -232,6 +232,27 @@ def test_resample_keeps_exactly_half(daily):
         windows.resample(df, 2, "median")
 
 
+def test_resample_counts_absent_rows_as_missing(daily):
+    df = daily(a=[3.0, None, 3.0, None, None, 3.0, None, None, None, None, 4.0])
+    for rows in (df, df.where("value IS NOT NULL")):
+        got = windows.resample(rows, 10, "mean").orderBy("block").collect()
+        assert [(r.block, r.present, r.value) for r in got] == [(0, 3, None), (1, 1, 4.0)]
+
+
+def test_smoothing_takes_absent_rows_as_gaps(daily, column):
+    df = daily(a=[float(i * i % 11) for i in range(9)] + [None] + [float(i) for i in range(10)])
+    whole = windows.smooth(df, 5, 2)
+    sparse = windows.smooth(df.where("value IS NOT NULL"), 5, 2)
+    kept = [v for v in column(whole, "smooth")["a"] if v is not None]
+    assert column(sparse, "smooth")["a"] == pytest.approx(kept, abs=1e-12)
+
+
+def test_leaks_are_found_per_feature(daily):
+    out = windows.lagged_features(daily(a=list(range(10))), lags=(2, -3), sums=(3,), means=(), audit=True)
+    got = {r.feature: (r.rows, r.violations, r.latest_offset_days) for r in windows.leak_audit(out).collect()}
+    assert got == {"lag_2": (10, 0, -2), "ahead_3": (10, 7, 3), "sum_3": (10, 0, 0)}
+
+
 def test_features_never_look_ahead(daily, column):
     v = [1, 2, 3, None, 5, 6, 7, 8]
     out = windows.lagged_features(daily(a=v), lags=(1,), sums=(3,), means=(2,))
