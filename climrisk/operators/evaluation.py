@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from climrisk.functions import checks, kernels
@@ -230,13 +231,51 @@ def beats_baseline(
     return model_f1 > baseline_f1, kernels.chi2_one_df_tail(statistic)
 
 
-def model_table(metrics: DataFrame, baseline: str = "linea_base_climatologica") -> DataFrame:
-    """Algorithms ranked by macro F1 within each event, next to the baseline's score."""
+def evaluate_expanding(make, folded: DataFrame, folds: int, *, gap_days: int = 0, date: str = "date") -> DataFrame:
+    """Out-of-fold forecasts of exactly `folds` evaluations, each trained on the past only.
+
+    A label that looks `gap_days` ahead would carry test days into the training rows before the
+    cut; those rows train nothing.
+    """
+    starts = {r["fold"]: r["at"] for r in folded.where("fold > 0").groupBy("fold").agg(F.min(date).alias("at")).collect()}
+    scored = None
+    for number in range(1, folds + 1):
+        past = F.col("fold") < number
+        if number in starts:
+            past &= F.date_add(date, gap_days) < F.lit(starts[number])
+        part = make().train(folded.where(past)).predict(folded.where(F.col("fold") == number))
+        scored = part if scored is None else scored.unionByName(part)
+    return scored
+
+
+def tail_probability(statistic) -> Column:
+    """Chance of a chi-squared value (one degree of freedom) beyond the statistic; NULL stays 1."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.fillna(0.0).map(kernels.chi2_one_df_tail)
+
+    return tail(statistic)
+
+
+def model_table(
+    metrics: DataFrame, baseline: str = "linea_base_climatologica", level: float = 0.05
+) -> DataFrame:
+    """Algorithms ranked by macro F1 within each event, next to the baseline's score.
+
+    With the columns of the paired test (only_model, only_baseline, statistic) there is a p-value,
+    and an algorithm beats the baseline by a higher score and a p-value under `level`. Without
+    them nothing is known to beat it.
+    """
     best = Window.partitionBy("event").orderBy(F.desc("macro_f1"), F.asc("algorithm"))
     own = Window.partitionBy("event")
     reference = F.max(F.when(F.col("algorithm") == baseline, F.col("macro_f1"))).over(own)
+    p_value = tail_probability("statistic") if "statistic" in metrics.columns else F.lit(None).cast("double")
     return (
-        metrics.withColumn("baseline_f1", reference)
+        metrics.withColumn("p_value", p_value)
+        .withColumn("baseline_f1", reference)
         .withColumn("place", F.rank().over(best))
-        .withColumn("beats_baseline", F.col("macro_f1") > F.col("baseline_f1"))
+        .withColumn(
+            "beats_baseline", (F.col("macro_f1") > F.col("baseline_f1")) & (F.col("p_value") < level)
+        )
     )

@@ -6,7 +6,9 @@ is an error, never a default.
 
 from __future__ import annotations
 
+import operator
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -15,13 +17,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from climrisk.functions import levels
 from climrisk.operators import evaluation
 from climrisk.operators.baselines import NotTrained
 from climrisk.schemas import LEVELS
+from climrisk.sources.tables import materialise
 
 SEED = 7
 
@@ -33,25 +36,31 @@ class LevelClassifier:
         self.algorithm, self.classifier = algorithm, classifier
         self.features, self.label = list(features), label
         self._assembler = VectorAssembler(
-            inputCols=self.features, outputCol="_features", handleInvalid="skip"
+            inputCols=[f"_in_{f}" for f in self.features], outputCol="_features"
         )
         self.model = None
         self.means: dict[str, float] | None = None
 
     def _assembled(self, rows: DataFrame) -> DataFrame:
-        return self._assembler.transform(rows)
+        """Adds the feature vector, and `_whole`: no feature is NULL or NaN (else 0 stands there)."""
+        known = {f: F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in self.features}
+        filled = {
+            f"_in_{f}": F.when(known[f], F.col(f).cast("double")).otherwise(0.0) for f in self.features
+        }
+        whole = reduce(operator.and_, known.values())
+        return self._assembler.transform(rows.withColumns(filled | {"_whole": whole}))
 
     def train(self, rows: DataFrame) -> LevelClassifier:
         known = rows.where(F.col(self.label).isNotNull()).withColumn(
             "_target", levels.severity(F.col(self.label)).cast("double")
         )
-        ready = self._assembled(known)
+        ready = self._assembled(known).where("_whole")
         self.means = ready.agg(*(F.avg(f).alias(f) for f in self.features)).first().asDict()
         self.model = self.classifier.fit(ready)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """Rows with a NULL feature get no forecast and are left out."""
+        """Every row comes back; one with a NULL feature has a NULL forecast."""
         if self.model is None:
             raise NotTrained(f"train {self.algorithm} before predicting")
         out = self.model.transform(self._assembled(rows)).withColumn(
@@ -60,13 +69,17 @@ class LevelClassifier:
         return _finished(out, levels.level_name(F.col("_predicted").cast("int")))
 
     def explain(self, rows: DataFrame) -> DataFrame | None:
-        """Exact linear contributions to the high level, largest first; None when not linear."""
+        """Exact linear contributions to the high level, largest first; None when not linear.
+
+        With `base` they add up to the margin of the high level. Rows with a NULL feature have none.
+        """
         if self.model is None:
             raise NotTrained(f"train {self.algorithm} before explaining")
         if not hasattr(self.model, "coefficientMatrix"):
             return None
+        # Row 2 belongs to the high level; a level never seen in training has no row and no say.
         weights = self.model.coefficientMatrix.toArray()
-        high = weights[-1] if weights.shape[0] > 1 else weights[0]
+        high = weights[2] if weights.shape[0] > 2 else [0.0] * len(self.features)
         parts = F.array(
             *(
                 F.struct(
@@ -81,7 +94,10 @@ class LevelClassifier:
             parts,
             lambda a, b: F.when(size(a) > size(b), -1).when(size(a) < size(b), 1).otherwise(0),
         )
-        return rows.dropna(subset=self.features).withColumn("explanation", ranked)
+        whole = reduce(operator.and_, (F.col(f).isNotNull() for f in self.features))
+        shift = float(self.model.interceptVector[2]) if weights.shape[0] > 2 else 0.0
+        base = shift + sum(float(w) * (self.means[f] or 0.0) for f, w in zip(self.features, high))
+        return rows.withColumn("explanation", F.when(whole, ranked)).withColumn("base", F.when(whole, F.lit(base)))
 
     def importance(self) -> list[tuple[str, float]] | None:
         """Global importance of tree models, largest first."""
@@ -93,12 +109,10 @@ class LevelClassifier:
 
 def _finished(out: DataFrame, level) -> DataFrame:
     """Forecast level and P(high); working columns removed. A level never seen scores zero."""
+    high = F.when(F.size("_scores") > 2, F.element_at("_scores", 3)).otherwise(0.0)
     return (
-        out.withColumn("prediction", level)
-        .withColumn(
-            "probability",
-            F.when(F.size("_scores") > 2, F.element_at("_scores", 3)).otherwise(0.0),
-        )
+        out.withColumn("prediction", F.when(F.col("_whole"), level))
+        .withColumn("probability", F.when(F.col("_whole"), high))
         .drop(*(c for c in out.columns if c.startswith("_")))
     )
 
@@ -113,7 +127,7 @@ class BoostedLevels(LevelClassifier):
         known = rows.where(F.col(self.label).isNotNull()).withColumn(
             "_target", levels.severity(F.col(self.label))
         )
-        ready = self._assembled(known)
+        ready = materialise(self._assembled(known).where("_whole").select("_features", "_target"))
         seen = {r["_target"] for r in ready.select("_target").distinct().collect()}
         self.model = {
             i: self.classifier.copy(
@@ -185,20 +199,18 @@ BUILDERS = {
 }
 
 
-def evaluate_expanding(make, folded: DataFrame, folds: int) -> DataFrame:
-    """Out-of-fold forecasts of exactly `folds` evaluations, each trained on the past only."""
-    scored = None
-    for number in range(1, folds + 1):
-        model = make().train(folded.where(F.col("fold") < number))
-        part = model.predict(folded.where(F.col("fold") == number))
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
-
-
 def metrics_row(
-    scored: DataFrame, algorithm: str, event: str, version: str, label: str = "label"
+    scored: DataFrame,
+    algorithm: str,
+    event: str,
+    version: str,
+    label: str = "label",
+    beats_baseline: bool | None = None,
 ) -> DataFrame:
-    """One registry row: macro scores and the confusion matrix of the given forecasts."""
+    """One registry row: macro scores and the confusion matrix of the given forecasts.
+
+    `beats_baseline` is the verdict of `evaluation.beats_baseline`; NULL where none was reached.
+    """
     cells = evaluation.confusion(
         scored.withColumn("_one", F.lit(1)), ["_one"], actual=label, predicted="prediction"
     )
@@ -214,7 +226,7 @@ def metrics_row(
             "macro_precision",
             "macro_recall",
             "confusion",
-            F.lit(None).cast("boolean").alias("beats_baseline"),
+            F.lit(beats_baseline).cast("boolean").alias("beats_baseline"),
         )
     )
 
@@ -223,7 +235,7 @@ def tune(make, grid: list[dict], folded: DataFrame, folds: int) -> DataFrame:
     """Macro F1 of every setting over the expanding folds; the earliest setting wins a tie."""
     table = None
     for i, params in enumerate(grid):
-        scored = evaluate_expanding(lambda p=params: make(**p), folded, folds)
+        scored = evaluation.evaluate_expanding(lambda p=params: make(**p), folded, folds)
         cells = evaluation.confusion(scored.withColumn("setting", F.lit(i)), ["setting"])
         row = evaluation.macro_scores(cells, ["setting"]).withColumn(
             "params", F.lit(", ".join(f"{k}={v}" for k, v in sorted(params.items())))
@@ -232,25 +244,36 @@ def tune(make, grid: list[dict], folded: DataFrame, folds: int) -> DataFrame:
     return table.orderBy(F.desc("macro_f1"), F.asc("setting"))
 
 
-def permutation_importance(model: LevelClassifier, rows: DataFrame) -> DataFrame:
-    """Accuracy lost when one feature is decoupled from its row.
+def permuted(rows: DataFrame, feature: str, keys: list[str], seed: int = SEED, bucket_rows: int = 10_000) -> DataFrame:
+    """The rows with one feature's values exchanged at random; every value is used exactly once.
 
-    Each feature is replaced by a value drawn by inverse distribution from a fixed grid of its
-    quantiles, so no global reordering of the rows is needed. One prediction job per feature.
+    Rows are dealt to buckets by a hash of their keys; in a bucket the value of the row that is
+    n-th by one hash goes to the row that is n-th by another. Keys tell rows apart.
     """
-    steps = [i / 50 for i in range(51)]
-    grids = rows.agg(*(F.percentile_approx(f, steps, 1000).alias(f) for f in model.features))
-    grid = grids.first().asDict()
+    buckets = max(1, -(-rows.count() // bucket_rows))
+    bucket = F.pmod(F.xxhash64(*keys, F.lit(f"{feature} {seed}")), F.lit(buckets))
+
+    def place(salt: str):
+        by = Window.partitionBy("_b").orderBy(F.xxhash64(*keys, F.lit(f"{feature} {seed} {salt}")), *keys)
+        return F.row_number().over(by)
+
+    dealt = rows.withColumn("_b", bucket)
+    givers = dealt.select("_b", place("give").alias("_n"), F.col(feature).alias("_given"))
+    takers = dealt.withColumn("_n", place("take"))
+    return takers.join(givers, ["_b", "_n"]).withColumn(feature, F.col("_given")).drop("_b", "_n", "_given")
+
+
+def permutation_importance(
+    model: LevelClassifier, rows: DataFrame, keys: list[str] | None = None
+) -> DataFrame:
+    """Accuracy lost when one feature's values are exchanged among the rows, largest loss first."""
+    keys = keys or [c for c in ("series", "date") if c in rows.columns]
     known = rows.where(F.col(model.label).isNotNull())
     hit = F.avg((F.col("prediction") == F.col(model.label)).cast("double"))
-    base = model.predict(known).agg(hit.alias("base"))
+    base = model.predict(known).agg(hit.alias("base")).first()["base"]
     table = None
-    for i, f in enumerate(model.features):
-        picks = F.array(*(F.lit(float(v)) for v in grid[f]))
-        at = (F.floor(F.rand(SEED + i) * len(steps)) + 1).cast("int")
-        moved = model.predict(known.withColumn(f, F.element_at(picks, at)))
-        row = moved.agg(hit.alias("moved")).select(
-            F.lit(f).alias("variable"), (base.select("base").scalar() - F.col("moved")).alias("loss")
-        )
+    for f in model.features:
+        moved = model.predict(permuted(known, f, keys))
+        row = moved.agg((F.lit(base) - hit).alias("loss")).select(F.lit(f).alias("variable"), "loss")
         table = row if table is None else table.unionByName(row)
     return table.orderBy(F.desc("loss"), "variable")

@@ -11,6 +11,7 @@ from climrisk.operators.calendar import densify_counts
 from climrisk.plans import adapters as a
 from climrisk.plans import series_queries as s
 from climrisk.plans.registry import query, rounded
+from climrisk.sources.tables import materialise
 
 LEVELED = f"""{a.RAIN_SQL}, {s.SUMS}, {s.ACC}, lev AS (
       SELECT s.series, s.date, s.value, s.total, p95_accumulated, p99_accumulated,
@@ -160,41 +161,61 @@ def label_distribution(spark, sf):
     return labels.label_distribution(labeled(spark, sf), subtotals=True)
 
 
-MODES = f"""known AS (
-      SELECT series, CAST(month(date) AS INTEGER) AS month, event, rank FROM labeled
-      WHERE rank IS NOT NULL),
-    counted AS (SELECT series, month, event, rank, count(*) AS c FROM known GROUP BY ALL),
-    modes AS (SELECT series, month, event, arg_max(rank, c * 10 + rank) AS mode,
+FOLDS, GAP_DAYS = 4, 7
+MODES = f"""placed AS (
+      SELECT date, CAST(least(floor((upto - 1) / floor(total / {FOLDS + 1}e0)), {FOLDS}) AS INTEGER) AS fold
+      FROM (SELECT date, sum(count(*)) OVER (ORDER BY date) AS upto, sum(count(*)) OVER () AS total
+        FROM labeled WHERE rank IS NOT NULL GROUP BY date)),
+    judged_rows AS (SELECT l.*, fold FROM labeled l JOIN placed USING (date) WHERE rank IS NOT NULL),
+    cut AS (SELECT fold AS k, min(date) AS cut_day FROM judged_rows WHERE fold > 0 GROUP BY 1),
+    known AS (SELECT k, series, month(date) AS month, event, rank FROM judged_rows
+      JOIN cut ON fold < k AND date + {GAP_DAYS} < cut_day),
+    counted AS (SELECT k, series, month, event, rank, count(*) AS c FROM known GROUP BY ALL),
+    modes AS (SELECT k, series, month, event, arg_max(rank, c * 10 + rank) AS mode,
       round(CAST(sum(CASE WHEN rank = 2 THEN c ELSE 0 END) AS DOUBLE) / sum(c), 6) AS probability
-      FROM counted GROUP BY 1, 2, 3),
-    all_counted AS (SELECT event, rank, count(*) AS c FROM known GROUP BY ALL),
-    all_modes AS (SELECT event, arg_max(rank, c * 10 + rank) AS mode,
+      FROM counted GROUP BY 1, 2, 3, 4),
+    all_counted AS (SELECT k, event, rank, count(*) AS c FROM known GROUP BY ALL),
+    all_modes AS (SELECT k, event, arg_max(rank, c * 10 + rank) AS mode,
       round(CAST(sum(CASE WHEN rank = 2 THEN c ELSE 0 END) AS DOUBLE) / sum(c), 6) AS probability
-      FROM all_counted GROUP BY 1),
+      FROM all_counted GROUP BY 1, 2),
     both_ AS (
-      SELECT l.series, l.date, l.level, l.label, {NAME.format(c='coalesce(m.mode, am.mode)')}
+      SELECT l.series, l.date, l.fold, l.level, l.label, {NAME.format(c='coalesce(m.mode, am.mode)')}
         AS baseline, coalesce(m.probability, am.probability) AS probability
-      FROM labeled l LEFT JOIN modes m ON m.series = l.series AND m.month = month(l.date)
-      LEFT JOIN all_modes am ON am.event = l.event)"""
+      FROM judged_rows l LEFT JOIN modes m
+        ON m.k = l.fold AND m.series = l.series AND m.month = month(l.date)
+      LEFT JOIN all_modes am ON am.k = l.fold AND am.event = l.event WHERE l.fold > 0)"""
+
+
+def folded(spark, sf):
+    """Labelled rows with the fold that tests them."""
+    return evaluation.expanding_folds(labeled(spark, sf).where("label IS NOT NULL"), FOLDS)
+
+
+def persisted(spark, sf):
+    """Rows of the test folds with the persistence forecast."""
+    return Persistence().train(None).predict(folded(spark, sf).where("fold > 0"))
+
+
+def climatology(spark, sf):
+    """Out-of-fold forecasts: each fold from a baseline trained before it, labels' reach left out."""
+    rows = materialise(folded(spark, sf))
+    return evaluation.evaluate_expanding(ClimatologicalBaseline, rows, FOLDS, gap_days=GAP_DAYS)
 
 
 def scored(spark, sf):
-    """Labelled rows with the persistence forecast and the climatological one."""
-    rows = labeled(spark, sf)
-    base = ClimatologicalBaseline().train(rows)
-    first = base.predict(rows).withColumnRenamed("prediction", "baseline")
+    """Test rows with the persistence forecast and the climatological one."""
+    first = climatology(spark, sf).withColumnRenamed("prediction", "baseline")
     kept = first.withColumnRenamed("probability", "baseline_probability")
-    return Persistence().train(rows).predict(kept)
+    return Persistence().train(None).predict(kept)
 
 
 @query(
     "baseline_climatology",
-    f"WITH {LABELED}, {MODES} SELECT series, date, label, baseline AS prediction, probability FROM both_",
+    f"WITH {LABELED}, {MODES} SELECT series, date, fold, label, baseline AS prediction, probability FROM both_",
 )
 def baseline_climatology(spark, sf):
-    rows = labeled(spark, sf)
-    out = ClimatologicalBaseline().train(rows).predict(rows)
-    return rounded(out.select("series", "date", "label", "prediction", "probability"), 6, "probability")
+    out = climatology(spark, sf)
+    return rounded(out.select("series", "date", "fold", "label", "prediction", "probability"), 6, "probability")
 
 
 @query(
@@ -219,7 +240,7 @@ CELLS = f"""levels(l) AS (VALUES ('bajo'), ('medio'), ('alto')),
     f"WITH {LABELED}, {MODES}, {CELLS} SELECT series, actual, predicted, n FROM cells",
 )
 def confusion(spark, sf):
-    return evaluation.confusion(scored(spark, sf), ["series"])
+    return evaluation.confusion(persisted(spark, sf), ["series"])
 
 
 MACRO = """per AS (
@@ -241,7 +262,7 @@ MACRO = """per AS (
     FROM per GROUP BY 1""",
 )
 def macro_f1(spark, sf):
-    df = evaluation.macro_scores(evaluation.confusion(scored(spark, sf), ["series"]), ["series"])
+    df = evaluation.macro_scores(evaluation.confusion(persisted(spark, sf), ["series"]), ["series"])
     return rounded(df, 6, "macro_precision", "macro_recall", "macro_f1", "accuracy")
 
 
@@ -285,27 +306,38 @@ def expanding_folds(spark, sf):
 @query(
     "model_table",
     f"""WITH {LABELED}, {MODES}, long AS (
-      SELECT 'persistencia' AS algorithm, series AS event, label, level AS p FROM both_
-      UNION ALL SELECT 'linea_base_climatologica', series, label, baseline FROM both_),
+      SELECT 'persistencia' AS algorithm, series AS event, label, level AS p, baseline FROM both_
+      UNION ALL SELECT 'linea_base_climatologica', series, label, baseline, baseline FROM both_),
     judged AS (SELECT * FROM long WHERE label IS NOT NULL AND p IS NOT NULL),
     levels(l) AS (VALUES ('bajo'), ('medio'), ('alto')), per AS (
       SELECT algorithm, event, l, count(*) FILTER (WHERE label = l AND p = l) AS tp,
         count(*) FILTER (WHERE label = l) + count(*) FILTER (WHERE p = l) AS den
       FROM judged CROSS JOIN levels GROUP BY 1, 2, 3), f AS (
       SELECT algorithm, event, round(avg(CASE WHEN den > 0 THEN 2e0 * tp / den ELSE 0 END), 6)
-        AS macro_f1 FROM per GROUP BY 1, 2), w AS (
-      SELECT *, max(CASE WHEN algorithm = 'linea_base_climatologica' THEN macro_f1 END) OVER (
+        AS macro_f1 FROM per GROUP BY 1, 2),
+    pairs AS (SELECT algorithm, event, count(*) FILTER (WHERE p = label AND baseline <> label) AS b,
+        count(*) FILTER (WHERE p <> label AND baseline = label) AS c FROM judged GROUP BY 1, 2),
+    tested AS (SELECT *, CASE WHEN b + c > 0
+        THEN CAST(pow(greatest(abs(b - c) - 1, 0), 2) AS DOUBLE) / (b + c) ELSE 0 END AS x FROM pairs),
+    -- The tail of the normal curve beyond sqrt(x), both sides, by Simpson's rule over 4000 steps.
+    tail AS (SELECT algorithm, event, b, c, greatest(1 - 2 * list_sum(list_transform(range(0, 4001), lambda i:
+        (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+        * exp(-0.5e0 * pow(sqrt(x) * i / 4000, 2)))) * sqrt(x) / 12000 / sqrt(2 * pi()), 0) AS p_value FROM tested),
+    w AS (
+      SELECT f.*, b AS only_model, c AS only_baseline, round(p_value, 6) AS p_value,
+        max(CASE WHEN algorithm = 'linea_base_climatologica' THEN macro_f1 END) OVER (
           PARTITION BY event) AS baseline_f1,
         CAST(rank() OVER (PARTITION BY event ORDER BY macro_f1 DESC, algorithm) AS INTEGER)
-          AS place FROM f)
-    SELECT algorithm, event, macro_f1, baseline_f1, place, macro_f1 > baseline_f1
-      AS beats_baseline FROM w""",
+          AS place FROM f JOIN tail USING (algorithm, event))
+    SELECT algorithm, event, macro_f1, baseline_f1, place, only_model, only_baseline, p_value,
+      macro_f1 > baseline_f1 AND p_value < 0.05 AS beats_baseline FROM w""",
 )
 def model_table(spark, sf):
     both = scored(spark, sf)
     long = both.select(
         F.col("series").alias("event"),
         "label",
+        "baseline",
         F.explode(
             F.array(
                 F.struct(F.lit("persistencia").alias("a"), F.col("prediction").alias("p")),
@@ -314,9 +346,9 @@ def model_table(spark, sf):
                 ),
             )
         ).alias("m"),
-    ).select("event", "label", F.col("m.a").alias("algorithm"), F.col("m.p").alias("prediction"))
+    ).select("event", "label", "baseline", F.col("m.a").alias("algorithm"), F.col("m.p").alias("prediction"))
     keys = ["algorithm", "event"]
     scores = evaluation.macro_scores(evaluation.confusion(long, keys), keys)
-    return evaluation.model_table(
-        rounded(scores.select(*keys, "macro_f1"), 6, "macro_f1")
-    )
+    pairs = evaluation.mcnemar_counts(long, keys).select(*keys, "only_model", "only_baseline", "statistic")
+    metrics = rounded(scores.select(*keys, "macro_f1"), 6, "macro_f1").join(pairs, keys)
+    return rounded(evaluation.model_table(metrics).drop("statistic"), 6, "p_value")

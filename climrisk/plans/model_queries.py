@@ -11,7 +11,7 @@ from climrisk.plans.registry import query, rounded
 from climrisk.sources.tables import materialise
 
 FEATURES = ["lag_1", "sum_3", "sum_7", "mean_7", "month"]
-FOLDS = 2
+FOLDS, GAP_DAYS = 4, 7
 
 
 def training_rows(spark, sf):
@@ -21,13 +21,12 @@ def training_rows(spark, sf):
         "month", F.month("date").cast("double")
     )
     rows = made.join(leveled, ["series", "date"]).where("label IS NOT NULL")
-    complete = rows.dropna(subset=FEATURES)
-    return evaluation.expanding_folds(complete, FOLDS)
+    return evaluation.expanding_folds(rows, FOLDS)
 
 
 def _scores(spark, sf, build):
     folded = materialise(training_rows(spark, sf))
-    scored = models.evaluate_expanding(lambda: build(FEATURES), folded, FOLDS)
+    scored = evaluation.evaluate_expanding(lambda: build(FEATURES), folded, FOLDS, gap_days=GAP_DAYS)
     cells = evaluation.confusion(scored, ["fold"])
     out = evaluation.macro_scores(cells, ["fold"])
     return rounded(out, 6, "macro_precision", "macro_recall", "macro_f1", "accuracy")
@@ -45,16 +44,14 @@ def model_rf(spark, sf):
 
 @query("model_gbt")
 def model_gbt(spark, sf):
-    return _scores(spark, sf, lambda f: models.gradient_boosting(f, maxIter=5, maxDepth=3))
+    return _scores(spark, sf, models.gradient_boosting)
 
 
 @query("model_tune")
 def model_tune(spark, sf):
     folded = materialise(training_rows(spark, sf))
-    grid = [{"regParam": 0.001}, {"regParam": 0.1}]
-    out = models.tune(
-        lambda **p: models.logistic_regression(FEATURES, maxIter=20, **p), grid, folded, FOLDS
-    )
+    grid = [{"regParam": r, "elasticNetParam": e} for r in (0.001, 0.01, 0.1) for e in (0.0, 0.5)]
+    out = models.tune(lambda **p: models.logistic_regression(FEATURES, **p), grid, folded, FOLDS)
     return rounded(out, 6, "macro_precision", "macro_recall", "macro_f1", "accuracy")
 
 
@@ -75,5 +72,31 @@ def explain_linear(spark, sf):
         "date",
         "prediction",
         "probability",
-        F.posexplode("explanation").alias("place", "_e"),
-    ).select("series", "date", "prediction", "probability", "place", "_e.*")
+        "base",
+        F.posexplode_outer("explanation").alias("place", "_e"),
+    ).select("series", "date", "prediction", "probability", "base", "place", "_e.*")
+
+
+@query(
+    "forecast_rows",
+    f"""WITH {h.LABELED}, {h.MODES}, made AS (
+      SELECT series, date, lag(value, 1) OVER s AS lag_1, count(value) OVER w3 AS n3,
+        count(value) OVER w7 AS n7 FROM labeled WINDOW s AS (PARTITION BY series ORDER BY date),
+        w3 AS (PARTITION BY series ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
+        w7 AS (PARTITION BY series ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+    SELECT fold, count(*) AS rows, count(*) FILTER (WHERE lag_1 IS NOT NULL AND n3 = 3 AND n7 = 7) AS forecasts,
+      min(date) AS first_day, max(date) AS last_day, CAST(0 AS BIGINT) AS outside
+    FROM judged_rows JOIN made USING (series, date) WHERE fold > 0 GROUP BY fold""",
+)
+def forecast_rows(spark, sf):
+    """Every row of a test fold is forecast once; only one with a NULL feature has no level."""
+    folded = materialise(training_rows(spark, sf))
+    build = lambda: models.logistic_regression(FEATURES)
+    scored = evaluation.evaluate_expanding(build, folded, FOLDS, gap_days=GAP_DAYS)
+    return scored.groupBy("fold").agg(
+        F.count("*").alias("rows"),
+        F.count("prediction").alias("forecasts"),
+        F.min("date").alias("first_day"),
+        F.max("date").alias("last_day"),
+        F.count_if(~F.col("probability").between(0, 1)).alias("outside"),
+    )

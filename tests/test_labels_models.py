@@ -217,7 +217,7 @@ def test_classifiers_learn_and_refuse(separable, name):
 def test_expanding_evaluation_and_tuning(separable):
     folded = evaluation.expanding_folds(separable, 2, series=None).cache()
     make = lambda **p: models.logistic_regression(["x"], **p)
-    out = models.evaluate_expanding(make, folded, 2)
+    out = evaluation.evaluate_expanding(make, folded, 2)
     assert {r.fold for r in out.select("fold").distinct().collect()} == {1, 2}
     row = models.metrics_row(out, "regresion_logistica", "sequia", "v1").first()
     assert row.macro_f1 > 0.5 and len(row.confusion) == 3 and row.beats_baseline is None
@@ -237,3 +237,64 @@ def test_thresholds_are_given_not_refitted(spark, daily):
     half = labels.rain_levels(df.where(F.col("date") < F.lit(D(1995, 4, 1))), fixed)
     both = half.select("date", F.col("level").alias("h")).join(whole, "date")
     assert both.where(~F.col("h").eqNullSafe(F.col("level"))).count() == 0
+
+
+def test_rows_with_absent_features_come_back_without_forecast(spark, separable):
+    model = models.logistic_regression(["x", "noise"]).train(separable)
+    holes = separable.limit(20).withColumn("x", F.when(F.dayofmonth("date") % 2 == 0, F.col("x")))
+    out = model.predict(holes).collect()
+    assert len(out) == 20
+    assert all((r.prediction is None) == (r.x is None) == (r.probability is None) for r in out)
+    assert all((r.explanation is None) == (r.x is None) for r in model.explain(holes).collect())
+
+
+def test_contributions_and_base_make_the_margin(separable):
+    import numpy as np
+
+    model = models.logistic_regression(["x", "noise"]).train(separable)
+    weights, shift = model.model.coefficientMatrix.toArray()[2], model.model.interceptVector[2]
+    for r in model.explain(separable.limit(30)).collect():
+        margin = shift + float(np.dot(weights, [r.x, r.noise]))
+        assert r.base + sum(e.contribution for e in r.explanation) == pytest.approx(margin, abs=1e-9)
+
+
+def test_a_level_never_seen_has_no_say(separable):
+    model = models.logistic_regression(["x", "noise"]).train(separable.where(F.col("label") != H))
+    row = model.explain(model.predict(separable)).first()
+    assert row.probability == 0.0 and all(e.contribution == 0 for e in row.explanation)
+
+
+def test_a_permutation_uses_every_value_once(separable):
+    for bucket_rows in (10_000, 50):
+        moved = models.permuted(separable, "x", ["date"], bucket_rows=bucket_rows)
+        before = [r.x for r in separable.orderBy("date").collect()]
+        after = [r.x for r in moved.orderBy("date").collect()]
+        assert sorted(before) == sorted(after) and before != after
+        again = models.permuted(separable.repartition(7), "x", ["date"], bucket_rows=bucket_rows)
+        assert after == [r.x for r in again.orderBy("date").collect()]
+
+
+def test_labels_reach_never_crosses_a_cut(spark):
+    class Spy:
+        seen = []
+
+        def train(self, rows):
+            self.last = rows.agg(F.max("date")).first()[0]
+            return self
+
+        def predict(self, rows):
+            Spy.seen.append((self.last, rows.agg(F.min("date")).first()[0]))
+            return rows
+
+    days = [(EPOCH + datetime.timedelta(days=i), "a") for i in range(60)]
+    folded = evaluation.expanding_folds(spark.createDataFrame(days, "date date, series string"), 3)
+    evaluation.evaluate_expanding(Spy, folded, 3, gap_days=7)
+    assert [(first - last).days for last, first in Spy.seen] == [8, 8, 8]
+
+
+def test_a_better_score_must_also_be_significant(spark):
+    rows = [("base", "e", 0.5, 0, 0, None), ("sure", "e", 0.6, 40, 5, 25.7), ("maybe", "e", 0.6, 4, 3, 0.0), ("worse", "e", 0.2, 5, 40, 25.7)]
+    table = spark.createDataFrame(rows, "algorithm string, event string, macro_f1 double, only_model long, only_baseline long, statistic double")
+    got = {r.algorithm: r for r in evaluation.model_table(table, "base").collect()}
+    assert [got[a].beats_baseline for a in ("sure", "maybe", "worse", "base")] == [True, False, False, False]
+    assert got["sure"].p_value < 1e-5 and got["maybe"].p_value == pytest.approx(1.0)
