@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from climrisk.operators.blocks import running_sum
 from climrisk.schemas import EVENTS, LEVELS
+from climrisk.sources.tables import materialise
 
 # Hazard-archive types that map to our events.
 DIRECT_TYPES = {
@@ -121,10 +122,12 @@ def contrast(
     """Days of each event span by estimated level; an open event runs to the last known day.
 
     `daily_levels` is dense per district. Running totals turn a span into a difference of two
-    days, so a span of any length costs two key lookups and is never expanded into days.
+    days, so a span of any length costs two key lookups and is never expanded into days. The totals
+    are written down once, so the plan of the levels runs once and not for every lookup.
     """
     c = F.col
-    totals = running_sum(
+    totals = materialise(
+        running_sum(
         daily_levels,
         {
             "_high": (c(level) == LEVELS[2]).cast("bigint"),
@@ -133,8 +136,8 @@ def contrast(
         },
         series=series,
         date=date,
-    ).select(series, date, "_high", "_known", "_days")
-    spans = daily_levels.groupBy(series).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
+    ).select(series, date, "_high", "_known", "_days"))
+    spans = totals.groupBy(series).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
     clipped = (
         events.join(spans, series, "left")
         .withColumn("_from", F.greatest("start_date", "_lo"))

@@ -43,9 +43,19 @@ def wet(df, **kw):
 
 
 def test_only_wet_days_count(daily):
-    assert wet(daily(a=[0.0] * 300 + [5.0] * 30))["a"].p95_daily == 5.0
-    assert wet(daily(a=[0.9] * 50 + [1.0] * 25))["a"].p95_daily == 1.0
-    assert wet(daily(a=[5.0] * 19))["a"].p95_daily is None
+    r = random.Random(17)
+    for wet_days in (0, 7, 33, 150):
+        rain = [round(r.uniform(1, 60), 2) for _ in range(wet_days)]
+        v = rain + [round(r.uniform(0, 0.99), 2) for _ in range(211)]
+        r.shuffle(v)
+        row = wet(daily(a=v)).get("a")
+        if not wet_days:
+            assert row is None
+        elif wet_days < thresholds.MIN_SAMPLE:
+            assert row.p95_daily is None and row.wet_days == wet_days
+        else:
+            assert row.p95_daily == pytest.approx(float(np.percentile(rain, 95)))
+            assert row.p99_daily == pytest.approx(float(np.percentile(rain, 99)))
 
 
 def test_base_period_is_inclusive(daily):
