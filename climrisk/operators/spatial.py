@@ -423,7 +423,10 @@ def area_coherence(
 
 
 def ring_validity(edge: DataFrame, polygon: str = "polygon") -> DataFrame:
-    """Closure, vertex count, zero area and self-crossing of every ring.
+    """Closure, vertex count, zero area and self-contact of every ring.
+
+    Edges that aren't neighbours may neither cross nor touch, at a point or along a line; a
+    neighbour may not run back along the edge before it. Repeated vertices are no fault.
 
     Edges are filed in grids whose cell is the power of two just above their own length, so a
     cell only holds edges of its size, at most four cells each. An edge looks for partners in its
@@ -432,15 +435,22 @@ def ring_validity(edge: DataFrame, polygon: str = "polygon") -> DataFrame:
     ring = [polygon, "part", "ring"]
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     size = F.greatest(F.abs(dx), F.abs(dy), F.lit(1e-12))
-    sized = edge.withColumn("_level", F.ceil(F.log2(size)).cast("int"))
-    facts = sized.groupBy(*ring).agg(
+    along = Window.partitionBy(*ring).orderBy("seq")
+    sized = (
+        edge.where((dx != 0) | (dy != 0))
+        .withColumn("_level", F.ceil(F.log2(size)).cast("int"))
+        .withColumn("seq", F.row_number().over(along))
+    )
+    whole = edge.groupBy(*ring).agg(
         (F.count("*") + 1).alias("vertices"),
         F.min_by(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), "seq").alias("_a"),
         F.max_by(F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")), "seq").alias("_z"),
-        F.max("seq").alias("_last"),
         (F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2).alias("_area"),
-        F.array_sort(F.collect_set("_level")).alias("_levels"),
     )
+    lengths = sized.groupBy(*ring).agg(
+        F.max("seq").alias("_last"), F.array_sort(F.collect_set("_level")).alias("_levels")
+    )
+    facts = whole.join(lengths, ring, "left")
 
     def filed(df: DataFrame, grid: str) -> DataFrame:
         cell = F.pow(F.lit(2.0), F.col(grid))
@@ -469,9 +479,22 @@ def ring_validity(edge: DataFrame, polygon: str = "polygon") -> DataFrame:
     across = side(*theirs, *mine[:2]) * side(*theirs, *mine[2:])
     step = F.abs(F.col("o_seq") - F.col("seq"))
     neighbours = (step <= 1) | (step == F.col("_last") - 1)
+    back = (
+        (step > 0)
+        & (side(*mine, *theirs[:2]) == 0)
+        & (side(*mine, *theirs[2:]) == 0)
+        & (dx * (c["o_x2"] - c["o_x1"]) + dy * (c["o_y2"] - c["o_y1"]) < 0)
+    )
+    meet = lambda a, b: (
+        (F.greatest(c[a], c[b]) >= F.least(c[f"o_{a}"], c[f"o_{b}"]))
+        & (F.greatest(c[f"o_{a}"], c[f"o_{b}"]) >= F.least(c[a], c[b]))
+    )
     crossed = (
         seekers.join(other, cell)
-        .where(~neighbours & (apart < 0) & (across < 0))
+        .where(
+            F.when(neighbours, back)
+            .otherwise((apart <= 0) & (across <= 0) & meet("x1", "x2") & meet("y1", "y2"))
+        )
         .select(*ring)
         .distinct()
         .withColumn("_x", F.lit(True))

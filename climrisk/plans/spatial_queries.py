@@ -220,17 +220,23 @@ def extent_km(spark, sf):
           ELSE x1 END AS x1, y1, y2 FROM edges),
     f AS (
       SELECT polygon, part, ring, count(*) + 1 AS vertices, arg_min(x1, seq) = arg_max(x2, seq)
-        AND arg_min(y1, seq) = arg_max(y2, seq) AS closed, max(seq) AS last,
+        AND arg_min(y1, seq) = arg_max(y2, seq) AS closed,
         abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM bad GROUP BY 1, 2, 3),
-    x AS (
-      SELECT DISTINCT p.polygon, p.part, p.ring FROM bad p JOIN bad q
-        ON p.polygon = q.polygon AND p.part = q.part AND p.ring = q.ring AND p.seq < q.seq
-      JOIN f ON f.polygon = p.polygon AND f.part = p.part AND f.ring = p.ring
-      WHERE q.seq - p.seq > 1 AND NOT (p.seq = 1 AND q.seq = f.last)
-        AND sign((p.x2-p.x1)*(q.y1-p.y1)-(p.y2-p.y1)*(q.x1-p.x1))
-          * sign((p.x2-p.x1)*(q.y2-p.y1)-(p.y2-p.y1)*(q.x2-p.x1)) < 0
-        AND sign((q.x2-q.x1)*(p.y1-q.y1)-(q.y2-q.y1)*(p.x1-q.x1))
-          * sign((q.x2-q.x1)*(p.y2-q.y1)-(q.y2-q.y1)*(p.x2-q.x1)) < 0)
+    long AS (SELECT *, row_number() OVER (PARTITION BY polygon, part, ring ORDER BY seq) AS n,
+        count(*) OVER (PARTITION BY polygon, part, ring) AS last
+      FROM bad WHERE x1 <> x2 OR y1 <> y2),
+    pairs AS (
+      SELECT p.polygon, p.part, p.ring, q.n - p.n = 1 OR (p.n = 1 AND q.n = p.last) AS beside,
+        sign((p.x2-p.x1)*(q.y1-p.y1)-(p.y2-p.y1)*(q.x1-p.x1)) AS s1,
+        sign((p.x2-p.x1)*(q.y2-p.y1)-(p.y2-p.y1)*(q.x2-p.x1)) AS s2,
+        sign((q.x2-q.x1)*(p.y1-q.y1)-(q.y2-q.y1)*(p.x1-q.x1)) AS s3,
+        sign((q.x2-q.x1)*(p.y2-q.y1)-(q.y2-q.y1)*(p.x2-q.x1)) AS s4,
+        (p.x2-p.x1)*(q.x2-q.x1) + (p.y2-p.y1)*(q.y2-q.y1) < 0 AS opposite,
+        greatest(p.x1, p.x2) >= least(q.x1, q.x2) AND greatest(q.x1, q.x2) >= least(p.x1, p.x2)
+          AND greatest(p.y1, p.y2) >= least(q.y1, q.y2) AND greatest(q.y1, q.y2) >= least(p.y1, p.y2) AS meet
+      FROM long p JOIN long q ON p.polygon = q.polygon AND p.part = q.part AND p.ring = q.ring AND p.n < q.n),
+    x AS (SELECT DISTINCT polygon, part, ring FROM pairs
+      WHERE CASE WHEN beside THEN s1 = 0 AND s2 = 0 AND opposite ELSE s1 * s2 <= 0 AND s3 * s4 <= 0 AND meet END)
     SELECT f.polygon, CAST(f.part AS INTEGER) AS part, CAST(f.ring AS INTEGER) AS ring, vertices,
       closed, area = 0 AS zero_area, x.polygon IS NOT NULL AS self_crossing,
       closed AND vertices >= 4 AND area > 0 AND x.polygon IS NULL AS valid

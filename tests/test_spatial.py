@@ -164,6 +164,20 @@ def test_ring_validity(spark):
     assert got["star", 0, 0].valid and got["hole", 0, 1].valid and got["two", 1, 0].valid
 
 
+def test_rings_that_touch_themselves_are_not_valid(spark):
+    shapes = {
+        "bow_at_a_vertex": ((0, 0), (1, 1), (2, 0), (2, 2), (1, 1), (0, 2)),
+        "vertex_on_an_edge": ((0, 0), (4, 0), (4, 4), (2, 0), (0, 4)),
+        "edges_overlap": ((0, 0), (4, 0), (4, 2), (3, 2), (3, 0), (1, 0), (1, 2), (0, 2)),
+        "spike": ((0, 0), (4, 0), (4, 4), (4, 7), (4, 4), (0, 4)),
+        "repeated_vertex": ((0, 0), (4, 0), (4, 0), (4, 4), (0, 4)),
+        "notched": ((0, 0), (4, 0), (4, 4), (2, 1), (0, 4)),
+    }
+    rows = [(name, [[ring(*points)]]) for name, points in shapes.items()]
+    out = spatial.ring_validity(spatial.edges(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert {r.polygon for r in out if r.valid} == {"repeated_vertex", "notched"}
+
+
 def crosses(a, b, c, d):
     side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
     return side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
