@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from climrisk.llm.common import staged
 from climrisk.llm.tokens import default_path, encoder, texts_of
 
 #: Lengths of one block of the suffix sums.
@@ -35,8 +36,10 @@ def with_suffix_sums(lengths: DataFrame) -> DataFrame:
     """Adds to each length: docs_longer_or_equal, tokens_longer_or_equal, docs_total, tokens_total, truncated_total.
 
     truncated_total: tokens left when every document is cut at that length. Sums run within blocks
-    of lengths and then over the blocks, so no task sorts all lengths.
+    of lengths and then over the blocks, so no task sorts all lengths. The histogram is written
+    down first: both need it.
     """
+    lengths = staged(lengths)
     tokens = F.col("length") * F.col("n_docs")
     block = F.floor(F.col("length") / _BLOCK)
     rows = lengths.withColumns({"block": block, "tokens": tokens})

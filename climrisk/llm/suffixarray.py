@@ -240,7 +240,7 @@ def deduplicate(docs: DataFrame, width: int = 400, chunk_bytes: int = CHUNK_BYTE
             F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit("").cast("binary").alias("kept"),
         )
     buckets = pieces(total // 100, BUCKET_KEYS)
-    groups = pieces(total, chunk_bytes)
+    groups = pieces(total, chunk_bytes // 2)
     same = copies(chunks)
 
     def keys(chunk: Chunk) -> pa.Table:

@@ -75,12 +75,14 @@ def plain_distance(a, b):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("abc", max_size=40), st.text("abc", max_size=40))
+@given(st.text("ab ", max_size=40), st.text("ab ", max_size=40))
 def test_edit_distance(a, b):
     true = plain_distance(a, b)
     assert lines.edit_distance(a, b, 100) == true
     for most in range(0, 12, 3):
         assert (lines.edit_distance(a, b, most) <= most) == (true <= most)
+    for percent in (50, 80, 95):
+        assert lines.alike(a, b, percent) == (100 * true <= (100 - percent) * max(len(a), len(b)))
 
 
 def line_rows():
