@@ -157,10 +157,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
 def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
     """The rows of `docs` without contaminated documents, all columns kept.
 
-    Equal doc_ids share their fate; rows without doc_id stay only if their text is clean.
+    Equal doc_ids share their fate; rows without doc_id stay only if their text is clean, each by
+    its own text (equal texts are equally contaminated).
     """
-    bad = contamination(docs, benchmark, width, share).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    own = F.when(F.col("doc_id").isNull(), F.sha2(F.col("text").cast("string").cast("binary"), 256))
+    named = docs.where("doc_id IS NOT NULL")
+    bad = contamination(named, benchmark, width, share).where("contaminated").select("doc_id").distinct()
+    nameless = docs.where("doc_id IS NULL").withColumn("_own", own)
+    # The digest takes the place of the id, so that a row's verdict is found by its text.
+    judged = contamination(nameless.where("_own IS NOT NULL").select(F.col("_own").alias("doc_id"), "text").distinct(), benchmark, width, share)
+    bad_texts = judged.where("contaminated").select(F.col("doc_id").alias("_own"))
+    return named.join(bad, "doc_id", "left_anti").select(docs.columns).unionByName(nameless.join(bad_texts, "_own", "left_anti").select(docs.columns))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
