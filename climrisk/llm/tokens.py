@@ -27,17 +27,18 @@ def default_path() -> str:
 def encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian unsigned 32-bit numbers.
 
-    Equal to Tokenizer.encode(text, add_special_tokens=False) with encode_special_tokens set, that
-    is, the names of special tokens within a text are ordinary text.
+    Equal to Tokenizer.encode(text, add_special_tokens=False) of the tokenizer as loaded: the name of
+    a special token within a text is that token. A text that may hold one is encoded whole.
     """
     cache = worker_cache("tokens")
     if cache.get("path") != path:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        cache.update(path=path, tokenizer=tokenizer, words={}, parts={})
-    tokenizer, words, parts = cache["tokenizer"], cache["words"], cache["parts"]
+        # What added tokens begin with; neither lower case nor composing characters makes it anew.
+        begins = {t.content[:2] for t in tokenizer.get_added_tokens_decoder().values()}
+        cache.update(path=path, tokenizer=tokenizer, words={}, parts={}, begins=begins)
+    tokenizer, words, parts, begins = cache["tokenizer"], cache["words"], cache["parts"], cache["begins"]
     model = tokenizer.model
     split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z\xdf-\xf6\xf8-\xff0-9]+")
     # Plain words take the short way: Latin-1 letters, digits and ASCII signs, already normalised.
@@ -61,6 +62,8 @@ def encoder(path: str) -> Callable[[str], bytes]:
         return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(text: str) -> bytes:
+        if any(b in text for b in begins):
+            return packed(tokenizer.encode(text, add_special_tokens=False).ids)
         if len(words) + len(parts) > REMEMBERED:
             words.clear()
             parts.clear()
