@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task holds at a time.
@@ -51,6 +51,33 @@ def pieces(total: int, each: int, least: int = 1) -> int:
     return max(least, -(-int(total) // each))
 
 
+def running_before(df: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds `name`, the sum of `value` over the rows of a group that come earlier in `order`, and `<name>_all`,
+    its sum over the whole group.
+
+    Rows are dealt by ranges of (group, order, place of the row), so neither a large group nor many equal
+    rows fill one task; each range then adds what the earlier ranges of its group hold. `group` must not
+    be null; nulls in `order` come first. `df` should be read from a table: its rows are counted by place.
+    """
+    rows = df.withColumn("_tie", F.monotonically_increasing_id()).withColumn("_value", value.cast("long"))
+    dealt = rows.repartitionByRange(shuffle_partitions(df.sparkSession), group, *order, "_tie")
+    ranges = staged(dealt.withColumn("_range", F.spark_partition_id()))
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = (
+        ranges.groupBy(group, "_range")
+        .agg(F.sum("_value").alias("_sum"))
+        .select(group, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_ahead"), F.sum("_sum").over(whole).alias(f"{name}_all"))
+    )
+    inside = Window.partitionBy(group, "_range").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranges.withColumn("_within", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+        .join(sums, [group, "_range"])
+        .withColumn(name, F.col("_ahead") + F.col("_within"))
+        .drop("_tie", "_value", "_range", "_ahead", "_within")
+    )
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
