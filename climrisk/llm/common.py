@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 8 << 20
 #: Keys that one counting task holds at a time; 32-bit remainders then clash about once in a thousand.
 BUCKET_KEYS = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,11 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The same rows read back from a table in the shared folder, removed when the session ends."""
+def staged(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """The same rows read back from a table in the shared folder, removed when the session ends.
+
+    `tidy` removes the shuffle files of the write as soon as it is done; for frames that are not run again.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if tidy:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,17 +16,15 @@ def plain():
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(tokens.default_path())
-    made.encode_special_tokens = True
     return lambda text: made.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from("aZé'ßsΣİ́ \n\t\x1c  <|>endoftext09½²")), max_size=60))
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=("Cs",)), st.sampled_from("aZé'ßsΣİ́ \n\t\x1c  <|>endoftext09½²")), max_size=60))
 def test_encoder_equals_tokenizer(text):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(tokens.default_path())
-    made.encode_special_tokens = True
     assert np.frombuffer(tokens.encoder(tokens.default_path())(text), "<u4").tolist() == made.encode(text, add_special_tokens=False).ids
 
 
