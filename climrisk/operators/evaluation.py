@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from climrisk.functions import checks, kernels
+from climrisk.operators.baselines import NotTrained
 from climrisk.schemas import LEVELS
 
 TIE_BUCKETS = 1024
@@ -231,19 +232,33 @@ def beats_baseline(
     return model_f1 > baseline_f1, kernels.chi2_one_df_tail(statistic)
 
 
+def before_fold(folded: DataFrame, number: int, *, gap_days: int = 0, date: str = "date") -> DataFrame:
+    """The rows that may train the model of a fold.
+
+    A label that looks `gap_days` ahead would carry test days into the training rows before the
+    cut; those rows train nothing. A fold without rows has no cut.
+    """
+    cut = folded.where(F.col("fold") == number).agg(F.min(date).alias("at")).first()["at"]
+    past = F.col("fold") < number
+    if cut is not None:
+        past &= F.date_add(date, gap_days) < F.lit(cut)
+    return folded.where(past)
+
+
 def evaluate_expanding(make, folded: DataFrame, folds: int, *, gap_days: int = 0, date: str = "date") -> DataFrame:
     """Out-of-fold forecasts of exactly `folds` evaluations, each trained on the past only.
 
-    A label that looks `gap_days` ahead would carry test days into the training rows before the
-    cut; those rows train nothing.
+    Where nothing before a fold can train a model, the fold's rows come back with NULL forecasts.
     """
-    starts = {r["fold"]: r["at"] for r in folded.where("fold > 0").groupBy("fold").agg(F.min(date).alias("at")).collect()}
     scored = None
     for number in range(1, folds + 1):
-        past = F.col("fold") < number
-        if number in starts:
-            past &= F.date_add(date, gap_days) < F.lit(starts[number])
-        part = make().train(folded.where(past)).predict(folded.where(F.col("fold") == number))
+        rows = folded.where(F.col("fold") == number)
+        model = make().train(before_fold(folded, number, gap_days=gap_days, date=date))
+        try:
+            part = model.predict(rows)
+        except NotTrained:
+            none = F.lit(None)
+            part = rows.withColumns({"prediction": none.cast("string"), "probability": none.cast("double")})
         scored = part if scored is None else scored.unionByName(part)
     return scored
 

@@ -51,12 +51,14 @@ class LevelClassifier:
         return self._assembler.transform(rows.withColumns(filled | {"_whole": whole}))
 
     def train(self, rows: DataFrame) -> LevelClassifier:
+        """Fits labelled rows with all features; where there are none, the model stays untrained."""
         known = rows.where(F.col(self.label).isNotNull()).withColumn(
             "_target", levels.severity(F.col(self.label)).cast("double")
         )
         ready = self._assembled(known).where("_whole")
-        self.means = ready.agg(*(F.avg(f).alias(f) for f in self.features)).first().asDict()
-        self.model = self.classifier.fit(ready)
+        facts = ready.agg(F.count("*").alias("_rows"), *(F.avg(f).alias(f) for f in self.features)).first().asDict()
+        if facts.pop("_rows"):
+            self.means, self.model = facts, self.classifier.fit(ready)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ class BoostedLevels(LevelClassifier):
                 }
             ).fit(ready.withColumn(f"_is{i}", (F.col("_target") == i).cast("double")))
             for i in sorted(seen)
-        }
+        } or None
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -231,11 +233,11 @@ def metrics_row(
     )
 
 
-def tune(make, grid: list[dict], folded: DataFrame, folds: int) -> DataFrame:
+def tune(make, grid: list[dict], folded: DataFrame, folds: int, *, gap_days: int = 0) -> DataFrame:
     """Macro F1 of every setting over the expanding folds; the earliest setting wins a tie."""
     table = None
     for i, params in enumerate(grid):
-        scored = evaluation.evaluate_expanding(lambda p=params: make(**p), folded, folds)
+        scored = evaluation.evaluate_expanding(lambda p=params: make(**p), folded, folds, gap_days=gap_days)
         cells = evaluation.confusion(scored.withColumn("setting", F.lit(i)), ["setting"])
         row = evaluation.macro_scores(cells, ["setting"]).withColumn(
             "params", F.lit(", ".join(f"{k}={v}" for k, v in sorted(params.items())))

@@ -51,21 +51,21 @@ def model_gbt(spark, sf):
 def model_tune(spark, sf):
     folded = materialise(training_rows(spark, sf))
     grid = [{"regParam": r, "elasticNetParam": e} for r in (0.001, 0.01, 0.1) for e in (0.0, 0.5)]
-    out = models.tune(lambda **p: models.logistic_regression(FEATURES, **p), grid, folded, FOLDS)
+    out = models.tune(lambda **p: models.logistic_regression(FEATURES, **p), grid, folded, FOLDS, gap_days=GAP_DAYS)
     return rounded(out, 6, "macro_precision", "macro_recall", "macro_f1", "accuracy")
 
 
 @query("importance")
 def importance(spark, sf):
     rows = materialise(training_rows(spark, sf))
-    model = models.random_forest(FEATURES).train(rows.where(F.col("fold") < FOLDS))
+    model = models.random_forest(FEATURES).train(evaluation.before_fold(rows, FOLDS, gap_days=GAP_DAYS))
     return models.permutation_importance(model, rows.where(F.col("fold") == FOLDS))
 
 
 @query("explain_linear")
 def explain_linear(spark, sf):
     rows = materialise(training_rows(spark, sf))
-    model = models.logistic_regression(FEATURES).train(rows.where(F.col("fold") < FOLDS))
+    model = models.logistic_regression(FEATURES).train(evaluation.before_fold(rows, FOLDS, gap_days=GAP_DAYS))
     told = model.explain(model.predict(rows.where(F.col("fold") == FOLDS)))
     return told.select(
         "series",

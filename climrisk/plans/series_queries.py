@@ -581,15 +581,16 @@ def normal_panel(spark, sf):
 COMPLETE = f"""{a.RAIN_SQL}, filled AS (
       SELECT *, avg(value) OVER (PARTITION BY series ORDER BY date
         ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS fill FROM rain), facts AS (
-      SELECT series, count(*) AS n, avg(coalesce(value, fill)) AS mean, min(date) AS start
-      FROM filled GROUP BY 1 HAVING count(coalesce(value, fill)) = count(*)),
+      SELECT series, date_diff('day', min(date), max(date)) + 1 AS n, avg(coalesce(value, fill)) AS mean, min(date) AS start,
+        date_diff('day', min(date), max(date)) + 1 - count(coalesce(value, fill)) AS missing
+      FROM filled GROUP BY 1),
     ready AS (
-      SELECT f.series, date_diff('day', start, date) AS t, n, coalesce(value, fill) - mean AS v
+      SELECT f.series, date_diff('day', start, date) AS t, n, missing, coalesce(value, fill) - mean AS v
       FROM filled f JOIN facts ON facts.series = f.series)"""
 SPECTRA = f"""{COMPLETE}, spectra AS (
-      SELECT r.series, k, n, k * 1e0 / n AS frequency,
-        sqrt(pow(sum(v * cos(2 * pi() * k * t / n)), 2)
-          + pow(sum(v * sin(2 * pi() * k * t / n)), 2)) * 2 / n AS magnitude
+      SELECT r.series, k, n, k * 1e0 / n AS frequency, max(missing) AS missing,
+        CASE WHEN max(missing) = 0 THEN sqrt(pow(sum(v * cos(2 * pi() * k * t / n)), 2)
+          + pow(sum(v * sin(2 * pi() * k * t / n)), 2)) * 2 / n END AS magnitude
       FROM ready r JOIN (SELECT series, unnest(range(1, n // 2 + 1)) AS k FROM facts) b
         ON b.series = r.series GROUP BY 1, 2, 3)"""
 NEAREST = """pick AS (
@@ -610,21 +611,21 @@ CYCLES = {"annual": spectrum.ANNUAL, "semiannual": spectrum.SEMIANNUAL}
     "spectrum_bins",
     f"""WITH {SPECTRA}, {NEAREST}
     SELECT s.series, p.target, CAST(s.k AS INTEGER) AS k, n, round(n / (s.k * 1e0), 6) AS period,
-      round(magnitude, 6) AS magnitude
+      round(magnitude, 6) AS magnitude, missing
     FROM spectra s JOIN pick p ON p.series = s.series AND p.k = s.k""",
 )
 def spectrum_bins(spark, sf):
-    df = spectrum.spectrum_at(_complete(spark, sf), CYCLES, on_gap="skip")
+    df = spectrum.spectrum_at(_complete(spark, sf), CYCLES, on_gap="null")
     return rounded(df, 6, "period", "magnitude")
 
 
 @query(
     "spectrum_full",
     f"""WITH {SPECTRA} SELECT series, CAST(k AS INTEGER) AS k, n, round(frequency, 9) AS frequency,
-      round(magnitude, 6) AS magnitude FROM spectra""",
+      round(magnitude, 6) AS magnitude, missing FROM spectra""",
 )
 def spectrum_full(spark, sf):
-    df = spectrum.spectrum(_complete(spark, sf), on_gap="skip").where("k > 0")
+    df = spectrum.spectrum(_complete(spark, sf), on_gap="null").where("k > 0")
     return rounded(rounded(df, 9, "frequency"), 6, "magnitude")
 
 
@@ -632,12 +633,12 @@ def spectrum_full(spark, sf):
     "nearest_bin",
     f"""WITH {SPECTRA}, {NEAREST}
     SELECT s.series, CAST(s.k AS INTEGER) AS k, round(1 / frequency, 6) AS period,
-      round(magnitude, 6) AS magnitude
+      round(magnitude, 6) AS magnitude, missing
     FROM spectra s JOIN pick p ON p.series = s.series AND p.k = s.k WHERE target = 'annual'""",
 )
 def nearest_bin(spark, sf):
-    spectra = spectrum.spectrum(_complete(spark, sf), on_gap="skip")
-    return rounded(spectrum.nearest_bin(spectra, spectrum.ANNUAL), 6, "period", "magnitude")
+    df = spectrum.spectrum_at(_complete(spark, sf), {"annual": spectrum.ANNUAL}, on_gap="null")
+    return rounded(df.drop("target", "n"), 6, "period", "magnitude")
 
 
 @query(
@@ -651,7 +652,7 @@ def nearest_bin(spark, sf):
 )
 def seasonal_ratio(spark, sf):
     df = spectrum.seasonal_ratio(
-        spectrum.spectrum_at(_complete(spark, sf), CYCLES, on_gap="skip")
+        spectrum.spectrum_at(_complete(spark, sf), CYCLES, on_gap="null")
     )
     return rounded(rounded(df, 6, "annual", "semiannual"), 5, "ratio")
 
@@ -660,8 +661,8 @@ def seasonal_ratio(spark, sf):
     "spectral_peaks",
     f"""WITH RECURSIVE {SPECTRA}, ranked AS (
       SELECT *, row_number() OVER (PARTITION BY series ORDER BY magnitude DESC, k) AS r
-      FROM spectra), greedy AS (
-      SELECT series, 0 AS r, CAST([] AS BIGINT[]) AS chosen FROM facts
+      FROM spectra WHERE missing = 0), greedy AS (
+      SELECT series, 0 AS r, CAST([] AS BIGINT[]) AS chosen FROM facts WHERE missing = 0
       UNION ALL
       SELECT g.series, g.r + 1, CASE WHEN len(g.chosen) < 5
           AND len(list_filter(g.chosen, lambda c: abs(c - x.k) < 3)) = 0
@@ -670,11 +671,12 @@ def seasonal_ratio(spark, sf):
     final AS (SELECT series, unnest(chosen) AS k, generate_subscripts(chosen, 1) AS rank
       FROM greedy WHERE r = 60)
     SELECT f.series, CAST(f.rank AS INTEGER) AS rank, CAST(f.k AS INTEGER) AS k,
-      round(1 / frequency, 6) AS period, round(magnitude, 6) AS magnitude
-    FROM final f JOIN spectra s ON s.series = f.series AND s.k = f.k""",
+      round(1 / frequency, 6) AS period, round(magnitude, 6) AS magnitude, missing
+    FROM final f JOIN spectra s ON s.series = f.series AND s.k = f.k
+    UNION ALL SELECT series, NULL, NULL, NULL, NULL, missing FROM facts WHERE missing > 0""",
 )
 def spectral_peaks(spark, sf):
-    spectra = spectrum.spectrum(_complete(spark, sf), on_gap="skip")
+    spectra = spectrum.spectrum(_complete(spark, sf), on_gap="null")
     return rounded(spectrum.spectral_peaks(spectra), 6, "period", "magnitude")
 
 
@@ -695,16 +697,16 @@ def spectral_peaks(spark, sf):
       GROUP BY c.series, target, n), nr AS (
       SELECT series, max(CASE WHEN target = 'semiannual' THEN magnitude END)
         / max(CASE WHEN target = 'annual' THEN magnitude END) AS null_ratio FROM nul GROUP BY 1),
-    dom AS (SELECT series, arg_max(k, magnitude) AS k FROM spectra GROUP BY 1)
+    dom AS (SELECT series, arg_max(k, magnitude) AS k FROM spectra WHERE missing = 0 GROUP BY 1)
     SELECT am.series, round(annual, 6) AS annual, round(semiannual, 6) AS semiannual,
       round(semiannual / annual, 5) AS ratio, round(null_ratio, 5) AS null_ratio,
       CAST(dom.k AS INTEGER) AS dominant_k, dom.k = p.k AS annual_dominates,
       semiannual / annual > 1.5e0 * null_ratio AS bimodal
-    FROM am JOIN nr ON nr.series = am.series JOIN dom ON dom.series = am.series
+    FROM am JOIN nr ON nr.series = am.series LEFT JOIN dom ON dom.series = am.series
     JOIN pick p ON p.series = am.series AND p.target = 'annual'""",
 )
 def bimodality(spark, sf):
-    df = spectrum.bimodality(_complete(spark, sf))
+    df = spectrum.bimodality(_complete(spark, sf), on_gap="null")
     return rounded(rounded(df, 6, "annual", "semiannual"), 5, "ratio", "null_ratio")
 
 
@@ -719,6 +721,6 @@ def bimodality(spark, sf):
 )
 def homogeneity(spark, sf):
     ratios = spectrum.seasonal_ratio(
-        spectrum.spectrum_at(_complete(spark, sf), CYCLES, on_gap="skip")
+        spectrum.spectrum_at(_complete(spark, sf), CYCLES, on_gap="null")
     )
     return rounded(rounded(spectrum.homogeneity(ratios), 5, "lowest", "highest"), 4, "times")

@@ -1,12 +1,9 @@
-"""Keyed tables on files: idempotent upsert, year partitions, snapshots, digests."""
+"""Keyed tables on files: small versioned tables, year partitions, snapshots, digests."""
 
 from __future__ import annotations
 
-import operator
 import tempfile
 import uuid
-from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,49 +65,6 @@ def write_by_year(
     )
 
 
-def upsert_by_year(
-    spark: SparkSession,
-    path: str,
-    new: DataFrame,
-    keys,
-    *,
-    date: str = "date",
-    order: str = "downloaded_at",
-    validate: Callable[[DataFrame], None] | None = None,
-) -> int:
-    """Idempotent load: last write wins per key; returns the rows delivered.
-
-    The merged years are written to a staging table first and checked there. Only then are they
-    swapped in, so a failure before that point leaves the target as it was. Years the delivery
-    does not touch are not read. A delivery with a NULL key or date is refused: such a row belongs
-    to no year and meets no other row.
-    """
-    root = working_folder(spark) or f"{path.rstrip('/')}__staging"
-    staging = f"{root.rstrip('/')}/upserts/{uuid.uuid4().hex}"
-    columns = new.columns
-    try:
-        write_by_year(new, f"{staging}/new", date)
-        incoming = spark.read.parquet(f"{staging}/new")
-        required = [date, *([keys] if isinstance(keys, str) else keys)]
-        lacking = reduce(operator.or_, [F.col(c).isNull() for c in required])
-        if not incoming.where(lacking).isEmpty():
-            raise ValueError(f"a delivered row has a NULL among {required}")
-        existing = None
-        if table_exists(spark, path):
-            years = incoming.select("year").distinct()
-            target = spark.read.parquet(path)
-            existing = target.join(years, "year", "left_semi").select(*columns)
-        merged = latest_by_key(existing, incoming.select(*columns), keys, order)
-        write_by_year(merged, f"{staging}/merged", date)
-        checked = spark.read.parquet(f"{staging}/merged").select(*columns)
-        if validate is not None:
-            validate(checked)
-        write_by_year(checked, path, date)
-        return incoming.count()
-    finally:
-        _remove(spark, staging)
-
-
 def upsert_whole(
     spark: SparkSession, path: str, new: DataFrame, keys, order: str = "updated_at"
 ) -> None:

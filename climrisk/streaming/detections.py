@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climrisk.sources.tables import upsert_by_year
+from climrisk.sources.versions import upsert_by_year
 
 
 def upsert_stream(
@@ -19,11 +19,13 @@ def upsert_stream(
 ):
     """Writer that merges every micro-batch with the batch rule.
 
-    Replaying a batch after a failure gives the same table: the merge is idempotent.
+    The number of a batch is committed together with its rows, under the name of the checkpoint, so a
+    batch that is replayed after a failure is taken in once: either it was not committed, and its
+    rows are written now, or it was, and the replay changes nothing.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        upsert_by_year(batch.sparkSession, path, batch, keys, date=date, order=order)
+    def merge(batch: DataFrame, number: int) -> None:
+        upsert_by_year(batch.sparkSession, path, batch, keys, date=date, order=order, batch=(checkpoint, number))
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

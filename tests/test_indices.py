@@ -260,15 +260,44 @@ def test_plain_sums_equal_the_transform(daily):
         assert magnitude == pytest.approx(full[key], abs=1e-10)
 
 
-def test_gaps_fail_or_are_left_out(daily):
-    df = daily(a=[1.0, None, 2.0], b=[1.0, 2.0, 1.0])
-    with pytest.raises(Exception, match="gap-free"):
-        spectrum.spectrum(df).collect()
-    assert {r.series for r in spectrum.spectrum(df, on_gap="skip").collect()} == {"b"}
+def test_gaps_fail_or_stay_without_magnitudes(daily):
+    df = daily(a=[1.0, None, 2.0, None, 5.0], b=[1.0, 2.0, 1.0], c=[4.0])
+    with pytest.raises(Exception, match="gap-free.* lacks 2"):
+        spectrum.spectrum(df.where("series = 'a'")).collect()
+    rows = spectrum.spectrum(df, on_gap="null").collect()
+    assert {(r.series, r.k, r.n, r.missing) for r in rows if r.magnitude is None} == {("a", k, 5, 2) for k in range(3)} | {("c", 0, 1, 0)}
+    assert {(r.series, r.k) for r in rows if r.magnitude is not None} == {("b", 0), ("b", 1)}
+    rows = spectrum.spectrum(df.where("value IS NOT NULL"), on_gap="null").where("series = 'a'").collect()
+    assert {(r.k, r.n, r.magnitude, r.missing) for r in rows} == {(k, 5, None, 2) for k in range(3)}
+    at = {r.series: r for r in spectrum.spectrum_at(df.where("series <> 'c'"), {"x": 0.4}, on_gap="null").collect()}
+    assert at["a"].magnitude is None and at["a"].missing == 2 and at["b"].magnitude > 0
+    peaks = spectrum.spectral_peaks(spectrum.spectrum(df.where("series <> 'c'"), on_gap="null")).collect()
+    assert {(r.series, r.rank, r.missing) for r in peaks} == {("a", None, 2), ("b", 1, 0)}
     with pytest.raises(ValueError):
         spectrum.spectrum(df, rate=0)
 
 
+@pytest.mark.parametrize("uneven", [0, 1, 10**6])
+def test_transform_equals_numpy_at_all_kinds_of_length(daily, monkeypatch, uneven):
+    """Primes, squares, powers of two and products; by the split alone, by chirps, and mixed."""
+    monkeypatch.setattr(spectrum, "UNEVEN", uneven)
+    r = np.random.default_rng(4)
+    lengths = (2, 3, 4, 7, 30, 64, 97, 121, 360, 509)
+    waves = {f"s{n}": r.normal(3, 50, n) for n in lengths}
+    rows = spectrum.spectrum(daily(**{s: v.tolist() for s, v in waves.items()})).collect()
+    got = {(x.series, x.k): x.magnitude for x in rows}
+    for n in lengths:
+        v = waves[f"s{n}"]
+        want = np.abs(np.fft.rfft(v - v.mean())) * 2 / n
+        assert len([1 for s, _ in got if s == f"s{n}"]) == n // 2 + 1
+        assert [got[f"s{n}", k] for k in range(n // 2 + 1)] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_transform_runs_without_python(daily):
+    plan = spectrum.spectrum(daily(a=[1.0, 2.0, 4.0]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_nearest_bin_number_matches_search(spark):
     for n in (50, 365, 366, 1461, 2499):
         for f in (spectrum.ANNUAL, spectrum.SEMIANNUAL, 1 / 7, 0.49999, 0.00001):
