@@ -6,6 +6,8 @@ is its outline and later rings are holes. Most work runs on the edge table made
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from climrisk.functions import checks, geo
+from climrisk.sources.tables import materialise
 
 CELL = 0.05
 SURFACE_MARGIN, SURFACE_SIDE = 0.03, 180
@@ -514,6 +517,129 @@ def ring_validity(edge: DataFrame, polygon: str = "polygon") -> DataFrame:
     )
 
 
+def _contacts(edge: DataFrame, polygon: str) -> DataFrame:
+    """Where edges of different rings of a polygon meet, told from both sides.
+
+    polygon, part, ring, seq, o_part, o_ring, kind and at: `cross` for a proper crossing, `line` for a
+    common stretch, `touch` for a common point, which lies at the share `at` of the edge. Edges are filed
+    in grids of their own size as in `ring_validity`, here by polygon.
+    """
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    size = F.greatest(F.abs(dx), F.abs(dy))
+    sized = edge.where(size > 0).withColumn("_level", F.ceil(F.log2(size)).cast("int"))
+    levels_of = sized.groupBy(polygon).agg(F.collect_set("_level").alias("_levels"))
+
+    def filed(df: DataFrame) -> DataFrame:
+        cell = F.pow(F.lit(2.0), F.col("_grid"))
+        span = lambda a, b: F.explode(
+            F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
+        )
+        return df.withColumn("_gx", span("x1", "x2")).withColumn("_gy", span("y1", "y2"))
+
+    coarser = F.explode(F.filter("_levels", lambda g: g >= F.col("_level")))
+    seekers = filed(sized.join(levels_of, polygon).withColumn("_grid", coarser))
+    cell = [polygon, "_grid", "_gx", "_gy"]
+    held = ("part", "ring", "seq", "x1", "y1", "x2", "y2")
+    others = filed(sized.withColumn("_grid", F.col("_level"))).select(*cell, *(F.col(c).alias(f"o_{c}") for c in held))
+    c = {n: F.col(n) for n in ("x1", "y1", "x2", "y2", "o_x1", "o_y1", "o_x2", "o_y2")}
+    mine = (c["x1"], c["y1"], c["x2"], c["y2"])
+    theirs = (c["o_x1"], c["o_y1"], c["o_x2"], c["o_y2"])
+    side = lambda ax, ay, bx, by, px, py: F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+    share = lambda ax, ay, bx, by, px, py: (
+        ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+    )
+    s = [side(*mine, *theirs[:2]), side(*mine, *theirs[2:]), side(*theirs, *mine[:2]), side(*theirs, *mine[2:])]
+    meet = lambda a, b: (
+        (F.greatest(c[a], c[b]) >= F.least(c[f"o_{a}"], c[f"o_{b}"]))
+        & (F.greatest(c[f"o_{a}"], c[f"o_{b}"]) >= F.least(c[a], c[b]))
+    )
+    pairs = (
+        seekers.join(others, cell)
+        .where((F.col("part") != F.col("o_part")) | (F.col("ring") != F.col("o_ring")))
+        .where(meet("x1", "x2") & meet("y1", "y2") & (s[0] * s[1] <= 0) & (s[2] * s[3] <= 0))
+    )
+    # Ends of either edge that lie on the other one, as shares of this edge and of the other.
+    along = [share(*mine, *theirs[:2]), share(*mine, *theirs[2:])]
+    across = [share(*theirs, *mine[:2]), share(*theirs, *mine[2:])]
+    on = lambda zero, t: (zero == 0) & t.between(0, 1)
+    ends = [(on(s[0], along[0]), along[0], F.lit(0.0)), (on(s[1], along[1]), along[1], F.lit(1.0)), (on(s[2], across[0]), F.lit(0.0), across[0]), (on(s[3], across[1]), F.lit(1.0), across[1])]
+    points = F.array_compact(F.array(*(F.when(held_, F.struct(a.alias("at"), b.alias("o_at"))) for held_, a, b in ends)))
+    low, high = (f(F.transform("_points", lambda p: p["at"])) for f in (F.array_min, F.array_max))
+    flat = (s[0] == 0) & (s[1] == 0)
+    kind = F.when(F.size("_points") == 0, "cross").when(flat & (high > low), "line").otherwise("touch")
+    met = pairs.withColumn("_points", points).withColumn("kind", kind).where(~(flat & (F.size("_points") == 0)))
+    met = met.withColumn("_p", F.explode_outer("_points"))
+    one = met.select(polygon, "part", "ring", "seq", "o_part", "o_ring", "kind", F.col("_p.at").alias("at"))
+    back = met.select(
+        polygon, F.col("o_part").alias("part"), F.col("o_ring").alias("ring"), F.col("o_seq").alias("seq"),
+        F.col("part").alias("o_part"), F.col("ring").alias("o_ring"), "kind", F.col("_p.o_at").alias("at"),
+    )
+    return one.unionByName(back).distinct()
+
+
+def polygon_validity(edge: DataFrame, step: float = CELL, polygon: str = "polygon") -> DataFrame:
+    """polygon, reasons, valid: how the rings of every polygon lie to one another.
+
+    Reasons, in order of the alphabet: `hole outside shell`, `nested holes`, `nested parts` (a part
+    inside another one, but not inside a hole of it), `parts overlap`, `parts share a line`, `ring` (see
+    `ring_validity`), `rings cross` and `rings share a line` (within a part). Rings may touch in single
+    points. Not told: an interior that is cut in two by touching rings.
+
+    Rings that don't cross properly can only change sides where they touch. So a ring is asked for
+    at one point, and between the touches of every edge that has some: all of a ring's points lie
+    inside another ring, or none does, or the two cross. Points meet rings in the cells of
+    `polygon_index`, edges meet edges in grids of their size; no ring is compared with all others.
+    """
+    ring = [polygon, "part", "ring"]
+    contacts = materialise(_contacts(edge, polygon))
+    touched = contacts.where("kind = 'touch'").groupBy(*ring, "seq").agg(F.collect_set("at").alias("_at"))
+    sound = edge.where("x1 <> x2 OR y1 <> y2")
+    first = sound.groupBy(*ring).agg(F.min("seq").alias("_first"))
+    asked = sound.join(first, ring).join(touched, [*ring, "seq"], "left").where((F.col("seq") == F.col("_first")) | F.col("_at").isNotNull())
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("_at", F.array().cast("array<double>")))))
+    middles = F.transform(F.sequence(F.lit(1), F.size("_cuts") - 1), lambda i: (F.element_at("_cuts", i) + F.element_at("_cuts", i + 1)) / 2)
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("_m")
+    points = asked.withColumn("_cuts", cuts).withColumn("_m", F.explode(middles)).select(*ring, at("x1", "x2").alias("lon"), at("y1", "y2").alias("lat"))
+    index = polygon_index(edge.withColumn("_other", F.struct(F.col(polygon).alias("polygon"), "part", "ring")), step, "_other")
+    found = locate_points(points, index, step, polygon="_other").where(F.col("_other.polygon") == F.col(polygon))
+    hits = found.groupBy(*ring, F.col("_other.part").alias("o_part"), F.col("_other.ring").alias("o_ring")).agg(F.count("*").alias("_hits"))
+    hits = hits.where("part <> o_part OR ring <> o_ring").join(points.groupBy(*ring).agg(F.count("*").alias("_all")), ring)
+    pair = [*ring, "o_part", "o_ring"]
+    met = contacts.groupBy(*pair).agg(F.max(F.col("kind") == "cross").alias("_cross"), F.max(F.col("kind") == "line").alias("_line"))
+    told = met.join(hits, pair, "full").select(
+        *pair,
+        # Points on a common line tell no side.
+        (F.coalesce("_cross", F.lit(False)) | (~F.coalesce("_line", F.lit(False)) & F.coalesce(F.col("_hits") < F.col("_all"), F.lit(False)))).alias("cross"),
+        F.coalesce("_line", F.lit(False)).alias("line"),
+        F.coalesce(F.col("_hits") == F.col("_all"), F.lit(False)).alias("inside"),
+    )
+    told = materialise(told)
+    clean = ~F.col("cross") & ~F.col("line")
+    same = F.col("part") == F.col("o_part")
+    faults = [
+        told.where(same & F.col("cross")).select(polygon, F.lit("rings cross").alias("reason")),
+        told.where(same & F.col("line")).select(polygon, F.lit("rings share a line").alias("reason")),
+        told.where(~same & F.col("cross")).select(polygon, F.lit("parts overlap").alias("reason")),
+        told.where(~same & F.col("line")).select(polygon, F.lit("parts share a line").alias("reason")),
+        told.where(same & clean & F.col("inside") & (F.col("ring") > 0) & (F.col("o_ring") > 0)).select(polygon, F.lit("nested holes").alias("reason")),
+    ]
+    # A hole has to lie in its shell; a pair that crosses or shares a line has its reason already.
+    to_shell = told.where(same & (F.col("o_ring") == 0) & (F.col("inside") | ~clean)).select(*ring)
+    holes = edge.where("ring > 0").select(*ring).distinct()
+    faults.append(holes.join(to_shell, ring, "left_anti").select(polygon, F.lit("hole outside shell").alias("reason")))
+    shells = told.where(~same & (F.col("ring") == 0) & clean & F.col("inside"))
+    met_already = told.where(~same & ~clean).select(polygon, "part", "o_part")
+    held = shells.where("o_ring > 0").select(polygon, "part", "o_part").unionByName(met_already)
+    nested = shells.where("o_ring = 0").select(polygon, "part", "o_part").join(held, [polygon, "part", "o_part"], "left_anti")
+    faults.append(nested.select(polygon, F.lit("nested parts").alias("reason")))
+    faults.append(ring_validity(edge, polygon).where(~F.col("valid")).select(polygon, F.lit("ring").alias("reason")))
+    every = reduce(DataFrame.unionByName, faults)
+    reasons = every.groupBy(polygon).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    none = F.array().cast("array<string>")
+    out = edge.select(polygon).distinct().join(reasons, polygon, "left").withColumn("reasons", F.coalesce("reasons", none))
+    return out.withColumn("valid", F.size("reasons") == 0)
+
+
 def reference_system_audit(
     polygons: DataFrame, expected: int = 4326, *, srid: str = "srid", geometry: str = "geometry"
 ) -> DataFrame:

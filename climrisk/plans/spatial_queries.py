@@ -254,6 +254,62 @@ def ring_validity(spark, sf):
     return spatial.ring_validity(edge)
 
 
+# Faults planted by polygon number, in thousandths of a degree: holes out of, across and along their shell,
+# parts on, across and inside the other part.
+MOVED = """CASE WHEN k % 16 = 6 AND ring = 1 THEN {v} + {out} WHEN k % 16 = 10 AND ring = 1 THEN {v} + {over}
+        WHEN k % 16 = 14 AND ring = 1 THEN {v} + {along} WHEN k % 16 = 7 AND part = 1 THEN {v} + {on}
+        WHEN k % 16 = 11 AND part = 1 THEN {v} + {across}
+        WHEN k % 16 = 15 AND part = 1 THEN {first} + {lead} + ({v} - {first} - {base}) * {num} {div} 4 ELSE {v} END"""
+
+
+def _moved(v: str, axis: str, div: str) -> str:
+    x = axis == "x"
+    first = (f"({a.WEST} + (k % {a.COLUMNS}) * {a.PITCH})" if x else f"({a.SOUTH} + (k {div} {a.COLUMNS}) * {a.PITCH})")
+    shifts = {"out": 50, "over": 30, "along": 20, "on": -40, "across": -30} if x else {"out": 0, "over": 7, "along": 0, "on": 0, "across": 10}
+    return MOVED.format(v=v, first=first, lead=5 if x else 8, base=40 if x else 0, num=2, div=div, **shifts)
+
+
+def _fault_edges(div: str) -> str:
+    columns = ", ".join(f"({_moved(f'i{c}', c[0], div)}) / 1e3 AS {c}" for c in ("x1", "y1", "x2", "y2"))
+    return f"SELECT polygon, part, ring, seq, {columns} FROM numbered"
+
+
+@query(
+    "polygon_validity",
+    f"""WITH {a.EDGES_SQL}, numbered AS (
+      SELECT *, polygon AS k, CAST(round(x1 * 1000) AS BIGINT) AS ix1, CAST(round(y1 * 1000) AS BIGINT) AS iy1,
+        CAST(round(x2 * 1000) AS BIGINT) AS ix2, CAST(round(y2 * 1000) AS BIGINT) AS iy2 FROM edges),
+    e AS ({_fault_edges("//")}), pairs AS (
+      SELECT p.polygon, p.part, p.ring, q.part AS o_part, q.ring AS o_ring,
+        sign((p.x2-p.x1)*(q.y1-p.y1)-(p.y2-p.y1)*(q.x1-p.x1)) * sign((p.x2-p.x1)*(q.y2-p.y1)-(p.y2-p.y1)*(q.x2-p.x1)) < 0
+        AND sign((q.x2-q.x1)*(p.y1-q.y1)-(q.y2-q.y1)*(p.x1-q.x1)) * sign((q.x2-q.x1)*(p.y2-q.y1)-(q.y2-q.y1)*(p.x2-q.x1)) < 0 AS crossing,
+        (p.x2-p.x1)*(q.y1-p.y1)-(p.y2-p.y1)*(q.x1-p.x1) = 0 AND (p.x2-p.x1)*(q.y2-p.y1)-(p.y2-p.y1)*(q.x2-p.x1) = 0
+        AND greatest(least(p.x2, greatest(q.x1, q.x2)), least(p.x1, greatest(q.x1, q.x2))) - least(greatest(p.x2, least(q.x1, q.x2)), greatest(p.x1, least(q.x1, q.x2)))
+          + greatest(least(p.y2, greatest(q.y1, q.y2)), least(p.y1, greatest(q.y1, q.y2))) - least(greatest(p.y2, least(q.y1, q.y2)), greatest(p.y1, least(q.y1, q.y2))) > 0 AS along
+      FROM e p JOIN e q ON p.polygon = q.polygon AND (p.part <> q.part OR p.ring <> q.ring)),
+    met AS (SELECT polygon, part, ring, o_part, o_ring, bool_or(crossing) AS crossing, bool_or(along) AS along FROM pairs GROUP BY 1, 2, 3, 4, 5),
+    middle AS (SELECT polygon, part, ring, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM e WHERE seq = 1),
+    held AS (
+      SELECT m.polygon, m.part, m.ring, q.part AS o_part, q.ring AS o_ring,
+        count(*) FILTER ((q.y1 <= m.y) <> (q.y2 <= m.y) AND q.x1 + (m.y - q.y1) * (q.x2 - q.x1) / nullif(q.y2 - q.y1, 0) > m.x) % 2 = 1 AS inside
+      FROM middle m JOIN e q ON m.polygon = q.polygon AND (m.part <> q.part OR m.ring <> q.ring) GROUP BY 1, 2, 3, 4, 5),
+    told AS (SELECT *, inside AND NOT crossing AND NOT along AS within FROM met JOIN held USING (polygon, part, ring, o_part, o_ring)),
+    why AS (
+      SELECT polygon, CASE WHEN part = o_part THEN 'rings cross' ELSE 'parts overlap' END AS reason FROM told WHERE crossing
+      UNION SELECT polygon, CASE WHEN part = o_part THEN 'rings share a line' ELSE 'parts share a line' END FROM told WHERE along
+      UNION SELECT polygon, 'hole outside shell' FROM told WHERE part = o_part AND ring > 0 AND o_ring = 0 AND NOT within AND NOT crossing AND NOT along
+      UNION SELECT polygon, 'nested parts' FROM told WHERE part <> o_part AND ring = 0 AND o_ring = 0 AND within)
+    SELECT k.polygon, coalesce(r.reasons, '') AS reasons, r.reasons IS NULL AS valid FROM (SELECT DISTINCT polygon FROM e) k
+    LEFT JOIN (SELECT polygon, string_agg(reason, ', ' ORDER BY reason) AS reasons FROM why GROUP BY 1) r ON r.polygon = k.polygon""",
+)
+def polygon_validity(spark, sf):
+    whole = {f"i{c}": F.round(F.col(c) * 1000).cast("long") for c in ("x1", "y1", "x2", "y2")}
+    numbered = _edges(spark, sf).withColumns(whole | {"k": F.col("polygon")})
+    moved = numbered.select("polygon", "part", "ring", "seq", *(F.expr(f"({_moved(f'i{c}', c[0], 'div')}) / 1000D").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    told = spatial.polygon_validity(moved)
+    return told.withColumn("reasons", F.array_join("reasons", ", "))
+
+
 @query(
     "srid_audit",
     """SELECT CASE WHEN s_suppkey % 9 = 0 THEN 5367 ELSE 4326 END AS srid, count(*) AS polygons,

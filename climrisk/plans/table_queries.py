@@ -7,7 +7,7 @@ from datetime import date as Date
 from pyspark.sql import functions as F
 
 from climrisk.functions import geo
-from climrisk.operators import audits, calendar, catalog, merge, risk
+from climrisk.operators import audits, calendar, catalog, merge, risk, spatial
 from climrisk.operators import labels as level_ops
 from climrisk.plans import adapters as a
 from climrisk.plans import series_queries as s
@@ -76,6 +76,42 @@ def two_source_merge(spark, sf):
     return merge.two_source_merge(rain.select("series").distinct(), coarse, rain, lo, hi)
 
 
+CELL_X, CELL_Y = "CAST(round_even(({x} + 180) / 0.625e0, 0) AS INTEGER)", "CAST(round_even(({y} + 90) / 0.5e0, 0) AS INTEGER)"
+
+
+@query(
+    "source_cell_merge",
+    f"""WITH {a.DETECTIONS_SQL}, {a.EDGES_SQL}, coarse AS (
+      SELECT {CELL_X.format(x="lon")} AS cell_x, {CELL_Y.format(y="lat")} AS cell_y,
+        CAST(date - INTERVAL 10950 DAY AS DATE) AS date, max(confidence) AS temp_max_c, count(*) AS observations FROM detections GROUP BY 1, 2, 3),
+    placed AS (
+      SELECT polygon AS series, {CELL_X.format(x="min(x1)")} AS cell_x, {CELL_Y.format(y="min(y1)")} AS cell_y
+      FROM edges GROUP BY 1),
+    days AS (SELECT l_suppkey AS series, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS value
+      FROM lineitem GROUP BY 1, 2),
+    span AS (SELECT min(date) AS lo, max(date) AS hi FROM coarse)
+    SELECT p.series, p.cell_x, p.cell_y, c.date, d.value, o.temp_max_c, o.observations
+    FROM placed p CROSS JOIN (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM span) c
+    LEFT JOIN days d ON d.series = p.series AND d.date = c.date
+    LEFT JOIN coarse o ON o.cell_x = p.cell_x AND o.cell_y = p.cell_y AND o.date = c.date""",
+)
+def source_cell_merge(spark, sf):
+    """Suppliers' territories by their south-west corner, detections as the coarse source of their cells.
+
+    Detections are moved back by 10,950 days, to where the deliveries lie.
+    """
+    x, y = geo.cell_number(F.col("lon"), F.col("lat"), "power")
+    seen = a.detections(spark, sf).withColumns({"cell_x": x, "cell_y": y, "date": F.date_sub("date", 10950)})
+    coarse = seen.groupBy("cell_x", "cell_y", "date").agg(
+        F.max("confidence").alias("temp_max_c"), F.count("*").alias("observations")
+    )
+    corners = spatial.edges(a.polygons(spark, sf)).groupBy(F.col("polygon").alias("series")).agg(
+        F.min("x1").alias("lon"), F.min("y1").alias("lat")
+    )
+    lo, hi = seen.agg(F.min("date"), F.max("date")).first()
+    return merge.source_cell_merge(corners, coarse, a.station_days(spark, sf), lo, hi)
+
+
 DELIVERY = """delivery AS (
       SELECT l_suppkey AS district, CAST(l_shipdate AS DATE) AS date, l_quantity AS precip_mm,
         l_orderkey * 10 + l_linenumber AS downloaded_at, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1

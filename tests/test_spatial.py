@@ -178,6 +178,43 @@ def test_rings_that_touch_themselves_are_not_valid(spark):
     assert {r.polygon for r in out if r.valid} == {"repeated_vertex", "notched"}
 
 
+def box(x, y, w, h=None):
+    h = w if h is None else h
+    return ring((x, y), (x + w, y), (x + w, y + h), (x, y + h))
+
+
+VALIDITY = {
+    "plain": ([[box(0, 0, 6)]], ()),
+    "hole": ([[box(0, 0, 6), box(2, 2, 2)]], ()),
+    "hole_touches_in_a_point": ([[box(0, 0, 6), ring((0, 3), (2, 2), (2, 4))]], ()),
+    "hole_outside": ([[box(0, 0, 6), box(8, 0, 2)]], ("hole outside shell",)),
+    "hole_outside_touching": ([[box(0, 0, 6), ring((6, 3), (8, 2), (8, 4))]], ("hole outside shell",)),
+    "hole_crosses": ([[box(0, 0, 6), box(4, 2, 4, 2)]], ("rings cross",)),
+    "hole_crosses_at_vertices": ([[ring((0, 0), (6, 0), (6, 3), (6, 6), (0, 6)), ring((5, 3), (6, 3), (7, 4), (6, 6), (5, 5))]], ("rings cross",)),
+    "hole_shares_a_line": ([[box(0, 0, 6), box(4, 2, 2)]], ("rings share a line",)),
+    "holes_nested": ([[box(0, 0, 9), box(1, 1, 6), box(3, 3, 2)]], ("nested holes",)),
+    "holes_cross": ([[box(0, 0, 9), box(1, 1, 4), box(3, 3, 4)]], ("rings cross",)),
+    "two_parts": ([[box(0, 0, 2)], [box(5, 0, 2)]], ()),
+    "parts_touch_in_a_point": ([[box(0, 0, 2)], [box(2, 2, 2)]], ()),
+    "parts_touch_along": ([[box(0, 0, 2)], [box(2, 0, 2)]], ("parts share a line",)),
+    "parts_overlap": ([[box(0, 0, 4)], [box(2, 2, 4)]], ("parts overlap",)),
+    "part_in_part": ([[box(0, 0, 6)], [box(2, 2, 2)]], ("nested parts",)),
+    "island_in_a_hole": ([[box(0, 0, 9), box(1, 1, 7)], [box(3, 3, 2)]], ()),
+    "island_across_a_hole": ([[box(0, 0, 9), box(2, 2, 3)], [box(4, 3, 2, 1)]], ("parts overlap",)),
+    "island_in_an_island": ([[box(0, 0, 9), box(1, 1, 7)], [box(2, 2, 4)], [box(3, 3, 1)]], ("nested parts",)),
+    "bow": ([[ring((0, 0), (2, 2), (2, 0), (0, 2))]], ("ring",)),
+    "corner_on_corner": ([[box(0, 0, 6), ring((0, 0), (2, 1), (1, 2))]], ()),
+}
+
+
+def test_polygon_validity_names_each_fault(spark):
+    rows = [(name, shape) for name, (shape, _) in VALIDITY.items()]
+    for step in (0.7, 20.0):
+        told = spatial.polygon_validity(spatial.edges(spark.createDataFrame(rows, SCHEMA)), step)
+        got = {r.polygon: (tuple(r.reasons), r.valid) for r in told.collect()}
+        assert got == {name: (reasons, not reasons) for name, (_, reasons) in VALIDITY.items()}
+
+
 def crosses(a, b, c, d):
     side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
     return side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0

@@ -650,3 +650,21 @@ def test_long_climate_payloads_are_parsed_in_linear_time(spark):
     began = time.time()
     read()
     assert time.time() - began < 10  # 18 s and more when each day was looked up in a map
+
+
+def test_source_cells_are_shared_and_never_fill_each_other(spark):
+    """Two territories of one cell get equal coarse values; rain and coarse variables stay apart."""
+    places = spark.createDataFrame([("a", -84.0, 10.0), ("b", -83.9, 10.1), ("c", -80.0, 10.0), ("d", None, None)], "series string, lon double, lat double")
+    cells = {r.series: (r.cell_x, r.cell_y, r.cell_lon, r.cell_lat) for r in merge.source_cells(places).collect()}
+    assert cells["a"] == cells["b"] != cells["c"] and cells["a"][2:] == (-83.75, 10.0)
+    days = [EPOCH + datetime.timedelta(days=k) for k in range(3)]
+    x, y = cells["a"][:2]
+    coarse = spark.createDataFrame([(x, y, days[0], 30.0), (x, y, days[2], 32.0), (1, 1, days[1], 99.0)], "cell_x int, cell_y int, date date, temp_max_c double")
+    rain = spark.createDataFrame([("a", days[1], 5.0), ("c", days[0], 7.0)], "series string, date date, value double")
+    got = {(r.series, r.date): (r.value, r.temp_max_c) for r in merge.source_cell_merge(places, coarse, rain, days[0], days[2]).collect()}
+    temps = (30.0, None, 32.0)
+    want = {(s, d): (None, temps[k] if s in "ab" else None) for s in "abcd" for k, d in enumerate(days)}
+    want |= {("a", days[1]): (5.0, None), ("c", days[0]): (7.0, None)}
+    assert got == want
+    with pytest.raises(Exception, match="two rows for cell"):
+        merge.source_cell_merge(places, coarse.union(coarse), rain, days[0], days[2]).collect()
