@@ -83,7 +83,7 @@ CELL_X, CELL_Y = "CAST(round_even(({x} + 180) / 0.625e0, 0) AS INTEGER)", "CAST(
     "source_cell_merge",
     f"""WITH {a.DETECTIONS_SQL}, {a.EDGES_SQL}, coarse AS (
       SELECT {CELL_X.format(x="lon")} AS cell_x, {CELL_Y.format(y="lat")} AS cell_y,
-        CAST(date - INTERVAL 10950 DAY AS DATE) AS date, max(confidence) AS temp_max_c, count(*) AS observations FROM detections GROUP BY 1, 2, 3),
+        CAST(date - INTERVAL 9000 DAY AS DATE) AS date, max(confidence) AS temp_max_c, count(*) AS observations FROM detections GROUP BY 1, 2, 3),
     placed AS (
       SELECT polygon AS series, {CELL_X.format(x="min(x1)")} AS cell_x, {CELL_Y.format(y="min(y1)")} AS cell_y
       FROM edges GROUP BY 1),
@@ -98,10 +98,10 @@ CELL_X, CELL_Y = "CAST(round_even(({x} + 180) / 0.625e0, 0) AS INTEGER)", "CAST(
 def source_cell_merge(spark, sf):
     """Suppliers' territories by their south-west corner, detections as the coarse source of their cells.
 
-    Detections are moved back by 10,950 days, to where the deliveries lie.
+    Detections are moved back by 9,000 days, to where the deliveries lie.
     """
     x, y = geo.cell_number(F.col("lon"), F.col("lat"), "power")
-    seen = a.detections(spark, sf).withColumns({"cell_x": x, "cell_y": y, "date": F.date_sub("date", 10950)})
+    seen = a.detections(spark, sf).withColumns({"cell_x": x, "cell_y": y, "date": F.date_sub("date", 9000)})
     coarse = seen.groupBy("cell_x", "cell_y", "date").agg(
         F.max("confidence").alias("temp_max_c"), F.count("*").alias("observations")
     )
