@@ -268,7 +268,8 @@ def similar(docs: DataFrame, words_each: int = 5, percent: int = 80, chunk_bytes
 def keep_one(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its component; all columns kept.
 
-    Rows without doc_id stay. A repeated row is one document: of rows with equal doc_id one stays.
+    Rows without doc_id stay. A repeated row is one document: of rows with equal doc_id the one with the
+    least text stays, then the one whose other columns come first as JSON.
     """
     stays = (
         similar(docs.select("doc_id", "text"), words_each, percent)
@@ -276,5 +277,7 @@ def keep_one(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFra
         .select(F.col("doc_id").alias("_stays"))
         .distinct()
     )
-    named = docs.join(stays, docs["doc_id"] == stays["_stays"]).drop("_stays").dropDuplicates(["doc_id"])
+    named = docs.join(stays, docs["doc_id"] == stays["_stays"], "left_semi")
+    first = F.min_by(F.struct(*docs.columns), F.struct("text", F.to_json(F.struct(*docs.columns))))
+    named = named.groupBy("doc_id").agg(first.alias("row")).select("row.*")
     return named.unionByName(docs.where("doc_id IS NULL"))

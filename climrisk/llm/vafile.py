@@ -30,7 +30,7 @@ def usable(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return (
         vectors.where(F.col("vec_id").isNotNull() & x.isNotNull())
         .where(sound)
-        .select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("values"))
+        .select("vec_id", F.transform(x, lambda v: F.floor(F.greatest(F.lit(-float(2**63)), F.least(F.lit(float(2**63 - 1024)), v * scale))).cast("long")).alias("values"))
         .withColumn("size", F.size("values"))
     )
 
@@ -94,10 +94,29 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, flat.flatten().to_numpy().reshape(len(ids), -1)
 
 
-def _guard(vectors: np.ndarray) -> None:
-    top = float(np.abs(vectors.astype(np.float64)).max(initial=0.0))
-    if top * top * max(1, vectors.shape[1]) >= 2**52:
-        raise ValueError("components are too large for exact whole-number inner products")
+def _exact(vectors: np.ndarray, queries: np.ndarray) -> bool:
+    """Whether floats hold every inner product and bound exactly."""
+    top = [max(1.0, float(np.abs(v.astype(np.float64)).max(initial=0.0))) for v in (vectors, queries)]
+    return max(top) * max(top) * max(1, vectors.shape[1]) < 2**52
+
+
+def read_block(
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as `search_block` for components too large for exact bounds: every vector is read.
+
+    Scores are whole numbers of any length; one outside of long counts as the nearest long.
+    """
+    found_q, found_v, found_s = [], [], []
+    for own, q in zip(query_ids.tolist(), queries, strict=True):
+        at = np.flatnonzero(ids != own)
+        total = sum((int(v) * vectors[at, d].astype(object) for d, v in enumerate(q)), np.zeros(len(at), object))
+        scores = np.array([min(2**63 - 1, max(-(2**63), int(s))) for s in total], np.int64)
+        order = np.lexsort((ids[at], ~scores))[:k]
+        found_q.append(np.full(len(order), own))
+        found_v.append(ids[at[order]])
+        found_s.append(scores[order])
+    return np.concatenate(found_q), np.concatenate(found_v), np.concatenate(found_s)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64) -> DataFrame:
@@ -106,7 +125,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64)
     Both inputs: vec_id, embedding. A query meets every vector of its own length but those under its
     own vec_id; ties go to the smaller vec_id. Repeated rows stay candidates each; a vec_id that is
     asked repeatedly is asked once, with its smallest vector. No vectors, or none to ask: no rows.
-    Components whose products could leave exact whole numbers raise an error.
+    Blocks with components whose products could leave exact floats are read whole, with whole numbers
+    of any length; a component or score outside of long counts as the nearest long.
     """
     rows, asked = usable(vectors, scale), usable(queries, scale)
     asked = asked.groupBy("vec_id").agg(F.min(F.struct("values", "size")).alias("q")).select("vec_id", "q.*")
@@ -125,9 +145,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64)
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         ids, base = _matrix(mine)
         query_ids, ask = _matrix(theirs)
-        _guard(base)
-        _guard(ask)
-        out = [search_block(query_ids[a : a + 256], ask[a : a + 256], ids, base, k) for a in range(0, len(ask), 256)]
+        search_in = search_block if _exact(base, ask) else read_block
+        out = [search_in(query_ids[a : a + 256], ask[a : a + 256], ids, base, k) for a in range(0, len(ask), 256)]
         return pa.table({c: pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
 
     keys = ("size", "block", "part")

@@ -56,9 +56,18 @@ def test_bounds_hold():
 def test_search_empty_and_huge(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vafile.search(df, df).count() == 0
-    big = spark.createDataFrame([(1, [1e30]), (2, [1e30])], "vec_id long, embedding array<float>")
-    with pytest.raises(Exception, match="too large"):
-        vafile.search(big, big).collect()
+    rng = np.random.default_rng(8)
+    rows = [(i, np.float32(rng.normal(size=8) * 10.0 ** rng.integers(0, 8)).tolist()) for i in range(60)]
+    rows += [(100, [3e38] * 8), (101, [-3e38] * 8)]
+    big = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    most = 2**63 - 1
+    clip = lambda s, low, high: max(low, min(high, s))
+    whole = {i: [clip(math.floor(64 * x), -(2**63), 2**63 - 1024) for x in v] for i, v in rows}
+    want = []
+    for q in whole:
+        scored = sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), -most - 1, most), i) for i in whole if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    assert sorted(map(tuple, vafile.search(big, big, k=5).collect())) == sorted(want)
 
 
 # ---- lines ---------------------------------------------------------------------------------
