@@ -162,3 +162,22 @@ def test_all_texts_empty(docs, rows_of):
     assert rows_of(substrings.deduplicate(docs(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows, 13)
     assert rows_of(suffixarray.deduplicate(docs(rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows, 400)
     assert rows_of(jaccard.similar(docs(rows)), "doc_id", "n_shingles", "component_id") == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_planted_passages_around_the_width(docs, rows_of):
+    """Passages of 300 to 600 bytes planted in documents of their own: brute force, those under 400 bytes stay."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    text = lambda size: " ".join(word() for _ in range(size // 4))[:size]
+    rows, lengths = [], (300, 399, 400, 401, 450, 600)
+    for k, size in enumerate(lengths):
+        passage = text(size)
+        # What stands beside a passage differs, or the repeated string would be longer.
+        rows += [(10 * k + n, text(700) + f"<{n}" + passage + f"{n}>" + text(300)) for n in range(3)]
+    rows += [(100 + n, text(1500)) for n in range(10)]
+    out = suffixarray.deduplicate(docs(rows), width=400)
+    assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows, 400)
+    gone = {r["doc_id"]: r["n_removed"] for r in out.collect()}
+    for k, size in enumerate(lengths):
+        assert {gone[10 * k + n] for n in range(3)} == {size if size >= 400 else 0}
+    assert not any(gone[100 + n] for n in range(10))
