@@ -84,9 +84,14 @@ def explain_linear(spark, sf):
         count(value) OVER w7 AS n7 FROM labeled WINDOW s AS (PARTITION BY series ORDER BY date),
         w3 AS (PARTITION BY series ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
         w7 AS (PARTITION BY series ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
-    SELECT fold, count(*) AS rows, count(*) FILTER (WHERE lag_1 IS NOT NULL AND n3 = 3 AND n7 = 7) AS forecasts,
+    , judged_features AS (SELECT fold, date, lag_1 IS NOT NULL AND n3 = 3 AND n7 = 7 AS whole
+      FROM judged_rows JOIN made USING (series, date)),
+    cuts AS (SELECT fold, min(date) AS cut FROM judged_features WHERE fold > 0 GROUP BY 1),
+    trained AS (SELECT DISTINCT c.fold FROM cuts c JOIN judged_features p ON p.fold < c.fold
+      WHERE p.whole AND CAST(p.date + INTERVAL 7 DAY AS DATE) < c.cut)
+    SELECT f.fold, count(*) AS rows, count(*) FILTER (WHERE whole AND t.fold IS NOT NULL) AS forecasts,
       min(date) AS first_day, max(date) AS last_day, CAST(0 AS BIGINT) AS outside
-    FROM judged_rows JOIN made USING (series, date) WHERE fold > 0 GROUP BY fold""",
+    FROM judged_features f LEFT JOIN trained t ON t.fold = f.fold WHERE f.fold > 0 GROUP BY f.fold""",
 )
 def forecast_rows(spark, sf):
     """Every row of a test fold is forecast once; only one with a NULL feature has no level."""

@@ -298,3 +298,17 @@ def test_a_better_score_must_also_be_significant(spark):
     got = {r.algorithm: r for r in evaluation.model_table(table, "base").collect()}
     assert [got[a].beats_baseline for a in ("sure", "maybe", "worse", "base")] == [True, False, False, False]
     assert got["sure"].p_value < 1e-5 and got["maybe"].p_value == pytest.approx(1.0)
+
+
+def test_folds_without_trainable_rows_have_null_forecasts(spark):
+    """Labels only after the first cut: the first fold's rows come back without a forecast."""
+    days = [EPOCH + datetime.timedelta(days=k) for k in range(40)]
+    rows = [("a", d, 0 if k < 10 else 1 if k < 25 else 2, float(k % 3), None if k < 10 else ("bajo", "alto")[k % 2]) for k, d in enumerate(days)]
+    folded = spark.createDataFrame(rows, "series string, date date, fold int, x double, label string")
+    for build in (models.logistic_regression, models.gradient_boosting):
+        out = evaluation.evaluate_expanding(lambda b=build: b(["x"]), folded, 2, gap_days=2)
+        got = {r["fold"]: (r["n"], r["said"]) for r in out.groupBy("fold").agg(F.count("*").alias("n"), F.count("prediction").alias("said")).collect()}
+        assert got == {1: (15, 0), 2: (15, 15)}
+    with pytest.raises(NotTrained):
+        model = models.logistic_regression(["x"]).train(folded.where("label IS NULL"))
+        model.predict(folded)
