@@ -1,145 +1,11 @@
-"""Small numeric kernels applied to Arrow batches inside tasks."""
+"""Small numeric helpers: filter weights for a plan, and the tail of the paired test."""
 
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 
-# Probability limits before the normal quantile (about +-3.719).
-LOWEST, HIGHEST = 1e-4, 1 - 1e-4
-
-
-def _each(function, x: np.ndarray) -> np.ndarray:
-    return np.fromiter(map(function, x), float, len(x))
-
-
-def lgamma(x: np.ndarray) -> np.ndarray:
-    return _each(math.lgamma, x)
-
-
-def erfc(x: np.ndarray) -> np.ndarray:
-    return _each(math.erfc, x)
-
-
-def normal_quantile(p: np.ndarray) -> np.ndarray:
-    return _each(NormalDist().inv_cdf, p)
-
-
-def _shifted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Moves x above 10 by recurrence; returns it with the digamma and trigamma corrections."""
-    y = np.array(x, dtype=float)
-    psi, tri = np.zeros_like(y), np.zeros_like(y)
-    for _ in range(10):
-        low = y < 10
-        psi = np.where(low, psi - 1 / y, psi)
-        tri = np.where(low, tri + 1 / y**2, tri)
-        y = np.where(low, y + 1, y)
-    return y, psi, tri
-
-
-def digamma(x: np.ndarray) -> np.ndarray:
-    y, psi, _ = _shifted(x)
-    r = 1 / y**2
-    tail = r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r * (1 / 132)))))
-    return psi + np.log(y) - 0.5 / y - tail
-
-
-def trigamma(x: np.ndarray) -> np.ndarray:
-    y, _, tri = _shifted(x)
-    r = 1 / y**2
-    tail = (1 / y**3) * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * (5 / 66)))))
-    return tri + 1 / y + 0.5 * r + tail
-
-
-def gamma_shape(mean: np.ndarray, mean_log: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood shape with the origin at zero: solves ln a - digamma(a) = s."""
-    s = np.log(mean) - mean_log
-    ok = np.isfinite(s) & (s > 0)
-    s = np.where(ok, s, 1.0)
-    a = (3 - s + np.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
-    for _ in range(40):
-        step = (np.log(a) - digamma(a) - s) / (1 / a - trigamma(a))
-        nxt = np.where(a - step > 0, a - step, a / 2)
-        done = np.abs(nxt - a) <= 1e-13 * np.abs(a)
-        a = nxt
-        if done.all():
-            break
-    return np.where(ok, a, np.nan)
-
-
-def gamma_cdf(x: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma P(shape, x) for x > 0."""
-    x, a = np.broadcast_arrays(np.asarray(x, float), np.asarray(shape, float))
-    out = np.empty(x.shape)
-    huge = a > 1e5
-    if huge.any():
-        lam = x[huge] / a[huge]
-        mu = lam - 1
-        small = np.abs(mu) < 1e-3
-        safe = np.where(small, 0.5, mu)
-        eta = np.sign(mu) * np.sqrt(
-            np.where(small, mu**2 * (1 - 2 * mu / 3 + mu**2 / 2), 2 * (mu - np.log1p(mu)))
-        )
-        first = np.where(
-            small, -1 / 3 + eta / 12, 1 / safe - 1 / np.where(eta == 0, 1.0, eta)
-        )
-        root = np.sqrt(a[huge] / 2)
-        upper = 0.5 * erfc(eta * root) + np.exp(-a[huge] * eta**2 / 2) * first / np.sqrt(
-            2 * np.pi * a[huge]
-        )
-        out[huge] = 1 - upper
-    series = ~huge & (x < a + 1)
-    if series.any():
-        xs, as_ = x[series], a[series]
-        term = 1 / as_
-        total, n = term.copy(), as_.copy()
-        while True:
-            n = n + 1
-            term = term * xs / n
-            total = total + term
-            if (np.abs(term) <= 1e-16 * np.abs(total)).all():
-                break
-        out[series] = total * np.exp(-xs + as_ * np.log(xs) - lgamma(as_))
-    fraction = ~huge & ~series
-    if fraction.any():
-        xs, as_ = x[fraction], a[fraction]
-        tiny = 1e-300
-        b = xs + 1 - as_
-        c, d = np.full_like(xs, 1 / tiny), 1 / b
-        h, k = d.copy(), 0
-        while True:
-            k += 1
-            an = -k * (k - as_)
-            b = b + 2
-            d = an * d + b
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = b + an / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-            if (np.abs(d * c - 1) <= 1e-15).all() or k > 100_000:
-                break
-        out[fraction] = 1 - h * np.exp(-xs + as_ * np.log(xs) - lgamma(as_))
-    return np.clip(out, 0.0, 1.0)
-
-
-def standardise(total, shape, scale, zero_share) -> np.ndarray:
-    """Mixed distribution to the standard normal; a zero total sits at half the zero mass."""
-    total = np.asarray(total, float)
-    shape, scale = np.asarray(shape, float), np.asarray(scale, float)
-    zero_share = np.asarray(zero_share, float)
-    known = np.isfinite(total) & np.isfinite(shape) & np.isfinite(scale)
-    out = np.full(total.shape, np.nan)
-    if known.any():
-        x, a, b, q = total[known], shape[known], scale[known], zero_share[known]
-        wet = x > 0
-        p = q / 2
-        p[wet] = q[wet] + (1 - q[wet]) * gamma_cdf(x[wet] / b[wet], a[wet])
-        out[known] = normal_quantile(np.clip(p, LOWEST, HIGHEST))
-    return out
-
-
 def smoothing_matrix(window: int, order: int) -> np.ndarray:
     """Row i gives the weights of the least-squares polynomial at sample i of `window`."""
     v = np.vander(np.arange(window) - (window - 1) / 2, order + 1)

@@ -9,21 +9,15 @@ from __future__ import annotations
 
 import logging
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from climrisk.functions import checks, kernels
+from climrisk.functions import checks, special
 from climrisk.operators.calendar import BASE_END, BASE_START, dry_season, in_base_period
 from climrisk.operators.windows import strict_sum
 
 log = logging.getLogger(__name__)
 
-_GAMMA = T.StructType(
-    [T.StructField("shape", T.DoubleType()), T.StructField("scale", T.DoubleType())]
-)
-
 # Fewest values for a two-parameter fit, and the flat-sample limit.
 MIN_FIT = 4
 FLAT_SPREAD = 1e-9
@@ -77,27 +71,14 @@ def accumulate(
     return monthly.withColumn(out, F.when(F.row_number().over(along) > window, total))
 
 
-@F.pandas_udf(_GAMMA)
-def _solve_gamma(mean: pd.Series, mean_log: pd.Series) -> pd.DataFrame:
-    m, ml = mean.to_numpy(float), mean_log.to_numpy(float)
-    shape = kernels.gamma_shape(m, ml)
-    return pd.DataFrame({"shape": shape, "scale": m / shape})
-
-
-@F.pandas_udf(T.DoubleType())
-def _standardise(
-    total: pd.Series, shape: pd.Series, scale: pd.Series, zero_share: pd.Series
-) -> pd.Series:
-    return pd.Series(kernels.standardise(total, shape, scale, zero_share))
-
-
 def gamma_parameters(
     sample: DataFrame, keys=("series", "month"), *, value: str = "accumulated"
 ) -> DataFrame:
     """Maximum-likelihood gamma of the positive values with the origin at zero, per group.
 
-    Each group is reduced to sufficient statistics first; only that small table meets Python.
-    Too few or flat positives leave shape and scale NULL; zero_share is always known.
+    Each group is reduced to sufficient statistics, and the likelihood equation is solved on those.
+    Too few or flat positives, or an equation without a solution, leave shape and scale NULL;
+    zero_share is always known.
     """
     x = F.col(value)
     wet = F.when(x > 0, x)
@@ -113,15 +94,16 @@ def gamma_parameters(
         )
     )
     usable = (F.col("n_positive") >= MIN_FIT) & (F.col("_spread") >= FLAT_SPREAD)
-    solved = stats.withColumn("_g", _solve_gamma("_mean", "_mean_log"))
-    finite = usable & ~F.isnan("_g.shape") & (F.col("_g.scale") > 0)
+    solved = stats.withColumn(
+        "shape", F.when(usable, F.expr(special.gamma_shape("_mean", "_mean_log")))
+    )
     return solved.select(
         *keys,
         "n",
         "n_positive",
         ((F.col("n") - F.col("n_positive")) / F.col("n")).alias("zero_share"),
-        F.when(finite, F.col("_g.shape")).alias("shape"),
-        F.when(finite, F.col("_g.scale")).alias("scale"),
+        "shape",
+        (F.col("_mean") / F.col("shape")).alias("scale"),
     )
 
 
@@ -166,12 +148,11 @@ def spi(
     if not by_month:
         log.warning("index with one fit per series follows the seasons: not an anomaly index")
     fit = gamma_parameters(sums, keys).where(F.col("n") >= MIN_FIT)
-    index = _standardise("accumulated", "shape", "scale", "zero_share")
+    index = F.expr(special.standard_index("accumulated", "shape", "scale", "zero_share"))
     return (
         sums.join(fit.select(*keys, "shape", "scale", "zero_share"), keys, "left")
-        .withColumn("_spi", index)
-        .withColumn(out, F.when(~F.isnan("_spi"), F.col("_spi")))
-        .drop("_spi", "shape", "scale", "zero_share")
+        .withColumn(out, index)
+        .drop("shape", "scale", "zero_share")
     )
 
 

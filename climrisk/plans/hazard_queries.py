@@ -51,13 +51,13 @@ def level_rain(spark, sf):
 @query(
     "level_drought",
     f"""WITH RECURSIVE {s.RAIN_ACC}, {s.BY_MONTH}
-    SELECT series, month_start, round(spi, 4) AS spi, CASE WHEN spi > -1 THEN 'bajo'
+    SELECT series, month_start, round(spi, 6) AS spi, CASE WHEN spi > -1 THEN 'bajo'
       WHEN spi > -1.5e0 THEN 'medio' WHEN spi <= -1.5e0 THEN 'alto' END AS level FROM z""",
 )
 def level_drought(spark, sf):
     index = spi.spi(spi.monthly_totals(a.rain(spark, sf)), 3)
     return rounded(
-        labels.drought_levels(index).select("series", "month_start", "spi", "level"), 4, "spi"
+        labels.drought_levels(index).select("series", "month_start", "spi", "level"), 6, "spi"
     )
 
 

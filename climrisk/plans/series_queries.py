@@ -7,6 +7,7 @@ from datetime import date as Date
 
 from pyspark.sql import functions as F
 
+from climrisk.functions import special
 from climrisk.operators import audits, calendar, spectrum, spi, thresholds, windows
 from climrisk.plans import adapters as a
 from climrisk.plans.registry import query, rounded
@@ -416,6 +417,12 @@ def spi_accumulate(spark, sf):
     return spi.accumulate(spi.monthly_totals(a.rain(spark, sf)), 3)
 
 
+def _ratio_sql(pair, x: str) -> str:
+    """The quotient of two polynomials of the published normal quantile."""
+    powers = lambda cs: " + ".join(f"{c:.20e} * pow({x}, {len(cs) - 1 - i})" for i, c in enumerate(cs))
+    return f"(({powers(pair[0])}) / ({powers(pair[1])}))"
+
+
 def _fit_sql(keys: str, join: str) -> str:
     """Shape by Newton steps on the likelihood equation, index by series and rational quantile."""
     digamma = (
@@ -457,18 +464,10 @@ cdf AS (
   FROM acc LEFT JOIN fit ON {join}),
 tail AS (SELECT *, CASE WHEN p0 IS NOT NULL THEN
   least(greatest(p0, 1e-4), 1 - 1e-4) END AS p FROM cdf),
-q AS (SELECT *, CASE WHEN p < 0.02425e0 THEN sqrt(-2*ln(p)) WHEN p > 0.97575e0
-    THEN sqrt(-2*ln(1-p)) ELSE p - 0.5e0 END AS r FROM tail),
-z AS (SELECT *, CASE WHEN p BETWEEN 0.02425e0 AND 0.97575e0 THEN
-    (((((-3.969683028665376e1*r*r+2.209460984245205e2)*r*r-2.759285104469687e2)*r*r
-      +1.383577518672690e2)*r*r-3.066479806614716e1)*r*r+2.506628277459239e0)*r /
-    (((((-5.447609879822406e1*r*r+1.615858368580409e2)*r*r-1.556989798598866e2)*r*r
-      +6.680131188771972e1)*r*r-1.328068155288572e1)*r*r+1)
-  ELSE (CASE WHEN p > 0.5e0 THEN -1 ELSE 1 END) *
-    (((((-7.784894002430293e-3*r-3.223964580411365e-1)*r-2.400758277161838e0)*r
-      -2.549732539343734e0)*r+4.374664141464968e0)*r+2.938163982698783e0) /
-    ((((7.784695709041462e-3*r+3.224671290700398e-1)*r+2.445134137142996e0)*r
-      +3.754408661907416e0)*r+1) END AS spi FROM q)"""
+q AS (SELECT *, p - 0.5e0 AS d, 0.180625e0 - (p - 0.5e0) * (p - 0.5e0) AS c,
+  sqrt(-ln(least(p, 1 - p))) - 1.6e0 AS r FROM tail),
+z AS (SELECT *, CASE WHEN abs(d) <= 0.425e0 THEN d * {_ratio_sql(special.CENTRE, "c")}
+  ELSE sign(d) * {_ratio_sql(special.FLANK, "r")} END AS spi FROM q)"""
 
 
 RAIN_ACC = f"{a.RAIN_SQL}, {MONTHS.format(t='rain')}, {ACCUMULATED}"
@@ -480,25 +479,25 @@ POOLED = _fit_sql("series", "fit.series = acc.series")
     "gamma_params",
     f"""WITH RECURSIVE {RAIN_ACC}, {BY_MONTH}
     SELECT series, month, n, n_positive, round(zero_share, 6) AS zero_share,
-      round(shape, 4) AS shape, round(scale, 4) AS scale FROM fit""",
+      round(shape, 6) AS shape, round(scale, 6) AS scale FROM fit""",
 )
 def gamma_params(spark, sf):
     sums = spi.accumulate(spi.monthly_totals(a.rain(spark, sf)), 3)
     fit = spi.gamma_parameters(sums.withColumn("month", F.month("month_start")))
-    return rounded(rounded(fit, 4, "shape", "scale"), 6, "zero_share")
+    return rounded(fit, 6, "shape", "scale", "zero_share")
 
 
 def _index(spark, sf, **how):
     months = spi.monthly_totals(a.rain(spark, sf))
     return rounded(
-        spi.spi(months, 3, **how).select("series", "month_start", "accumulated", "spi"), 4, "spi"
+        spi.spi(months, 3, **how).select("series", "month_start", "accumulated", "spi"), 6, "spi"
     )
 
 
 @query(
     "spi3",
     f"""WITH RECURSIVE {RAIN_ACC}, {BY_MONTH}
-    SELECT series, month_start, accumulated, round(spi, 4) AS spi FROM z""",
+    SELECT series, month_start, accumulated, round(spi, 6) AS spi FROM z""",
 )
 def spi3(spark, sf):
     return _index(spark, sf)
@@ -507,7 +506,7 @@ def spi3(spark, sf):
 @query(
     "spi3_pooled",
     f"""WITH RECURSIVE {RAIN_ACC}, {POOLED}
-    SELECT series, month_start, accumulated, round(spi, 4) AS spi FROM z""",
+    SELECT series, month_start, accumulated, round(spi, 6) AS spi FROM z""",
 )
 def spi3_pooled(spark, sf):
     return _index(spark, sf, by_month=False)

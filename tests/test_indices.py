@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from climrisk.functions import kernels
+from climrisk.functions import special
 from climrisk.operators import spectrum, spi, thresholds
 
 D = datetime.date
@@ -143,39 +143,77 @@ def test_gamma_fit_separates_zeros(spark):
     assert flat.shape is None
 
 
-def test_gamma_shape_solves_the_likelihood_equation():
+def over(spark, rows, schema, text):
+    """Values of an SQL expression, one per row, in the order of the rows."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {schema}")
+    return [r.v for r in df.select("i", F.expr(text).alias("v")).orderBy("i").collect()]
+
+
+def test_gamma_shape_solves_the_likelihood_equation(spark):
     r = np.random.default_rng(3)
-    for a in (0.3, 1.0, 7.5, 400.0, 3e5):
+    rows = []
+    for a in (0.02, 0.3, 1.0, 7.5, 400.0, 3e5):
         x = r.gamma(a, 2.0, 500)
-        m, ml = np.array([x.mean()]), np.array([np.log(x).mean()])
-        shape = kernels.gamma_shape(m, ml)
-        s = np.log(m) - ml
-        assert np.log(shape) - kernels.digamma(shape) == pytest.approx(s, abs=1e-10)
-
-
-def test_special_functions_obey_their_identities():
-    x = np.array([0.1, 0.9, 2.5, 11.0, 300.0])
-    assert kernels.digamma(x + 1) - kernels.digamma(x) == pytest.approx(1 / x, rel=1e-9)
-    assert kernels.trigamma(x) - kernels.trigamma(x + 1) == pytest.approx(1 / x**2, rel=1e-8)
-    t = np.array([0.01, 0.5, 3.0, 20.0])
-    assert kernels.gamma_cdf(t, np.ones(4)) == pytest.approx(1 - np.exp(-t), abs=1e-14)
-    two = 1 - np.exp(-t) * (1 + t)
-    assert kernels.gamma_cdf(t, np.full(4, 2.0)) == pytest.approx(two, abs=1e-13)
-    # The large-shape expansion joins the series smoothly.
-    lam = np.array([0.99, 0.999, 1.0, 1.001, 1.01])
-    below = kernels.gamma_cdf(lam * 99_999, np.full(5, 99_999.0))
-    above = kernels.gamma_cdf(lam * 100_001, np.full(5, 100_001.0))
-    assert below == pytest.approx(above, abs=2e-5)
-    z = np.array([-3.0, -0.4, 0.0, 2.2])
-    p = np.array([NormalDist().cdf(v) for v in z])
-    assert kernels.normal_quantile(p) == pytest.approx(z, abs=1e-12)
-
-
-def test_standardise_limits_and_zero_mass():
-    out = kernels.standardise([0.0, 1e9, np.nan], [2.0] * 3, [1.0] * 3, [0.5] * 3)
+        rows.append((float(x.mean()), float(np.log(x).mean())))
+    shapes = over(spark, rows, "x double, y double", special.gamma_shape("x", "y"))
+    left = over(spark, [(a,) for a in shapes], "x double", special.log_less_digamma("x"))
+    for (m, ml), value in zip(rows, left):
+        assert value == pytest.approx(math.log(m) - ml, rel=1e-9, abs=1e-12)
+    odd = [(1.0, 0.0), (1.0, 0.5), (None, 0.1), (float("nan"), 0.1)]
+    assert over(spark, odd, "x double, y double", special.gamma_shape("x", "y"))[:3] == [None] * 3
+
+
+def test_special_functions_obey_their_identities(spark):
+    x = [0.1, 0.9, 2.5, 9.99, 10.0, 11.0, 300.0, 1e9]
+    rows = [(v,) for v in x]
+    assert over(spark, rows, "x double", special.log_gamma("x")) == pytest.approx([math.lgamma(v) for v in x], rel=1e-13, abs=1e-14)
+    digamma = lambda c: f"(ln({c}) - {special.log_less_digamma(c)})"
+    assert over(spark, rows[:-1], "x double", f"{digamma('x + 1')} - {digamma('x')}") == pytest.approx([1 / v for v in x[:-1]], rel=1e-9)
+    trigamma = lambda c: f"({special.trigamma_less_inverse(c)} + 1 / ({c}))"
+    assert over(spark, rows[:-1], "x double", f"{trigamma('x')} - {trigamma('x + 1')}") == pytest.approx([v**-2 for v in x[:-1]], rel=1e-8)
+    z = [-6.5, -3.0, -0.4, 0.0, 2.2]
+    p = [(NormalDist().cdf(v),) for v in z]
+    assert over(spark, p, "x double", special.normal_quantile("x")) == pytest.approx(z, abs=1e-12)
+    assert over(spark, [(0.0,), (1.0,), (None,)], "x double", special.normal_quantile("x")) == [None] * 3
+
+
+def test_gamma_distribution_function(spark):
+    t = [0.01, 0.5, 3.0, 20.0, 200.0]
+    p = special.gamma_cdf("x", "y")
+    at = lambda rows: over(spark, rows, "x double, y double", p)
+    assert at([(v, 1.0) for v in t]) == pytest.approx([1 - math.exp(-v) for v in t], abs=1e-14)
+    assert at([(v, 2.0) for v in t]) == pytest.approx([1 - math.exp(-v) * (1 + v) for v in t], abs=1e-13)
+    assert at([(v, 0.5) for v in t]) == pytest.approx([math.erf(math.sqrt(v)) for v in t], abs=1e-13)
+    # P(a + 1, x) = P(a, x) - x**a * exp(-x) / gamma(a + 1), at any size of a.
+    for a in (0.2, 9.5, 10.0, 400.0, 1e5, 1e7):
+        for z in (-3.0, 0.0, 0.7, 3.5):
+            x = a + z * math.sqrt(a)
+            if x <= 0:
+                continue
+            low, high = at([(x, a), (x, a + 1)])
+            off = (x - a) / a
+            front = math.exp(-a * (off - math.log1p(off)) - special_rest(a))
+            assert low - high == pytest.approx(front, abs=1e-12)
+    assert at([(1.0, 2e8), (1.0, None), (None, 1.0), (0.0, 1.0)]) == [None] * 4
+    assert at([(1e-3, 1e6), (1e9, 1e6)]) == [0.0, 1.0]
+
+
+def special_rest(a):
+    """lgamma(a + 1) - (a ln a - a), for the front factor above."""
+    return math.lgamma(a + 1) - (a * math.log(a) - a) if a < 1e3 else 0.5 * math.log(2 * math.pi * a) + 1 / (12 * a)
+
+
+def test_index_limits_and_zero_mass(spark):
+    index = special.standard_index("x", "2D", "1D", "0.5D")
+    out = over(spark, [(0.0,), (1e9,), (None,), (float("nan"),)], "x double", index)
     assert out[0] == pytest.approx(NormalDist().inv_cdf(0.25))
     assert out[1] == pytest.approx(NormalDist().inv_cdf(1 - 1e-4))
-    assert math.isnan(out[2])
+    assert out[2:] == [None, None]
+
+
+def test_index_needs_no_python_worker(spark):
+    plan = spi.spi(months(spark, rainy(60)), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 def rainy(n, seed=5):
