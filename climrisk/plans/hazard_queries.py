@@ -161,6 +161,68 @@ def label_distribution(spark, sf):
     return labels.label_distribution(labeled(spark, sf), subtotals=True)
 
 
+# --- three hazards side by side ------------------------------------------------------------
+
+
+def labeled_hazards(spark, sf):
+    """Level and seven-day label of every hazard, with its name: rain, drought and fire."""
+    daily = a.rain(spark, sf)
+    monthly = labels.drought_levels(spi.spi(spi.monthly_totals(daily), 3))
+    week = _week(spark, sf)
+    leveled_days = {
+        "lluvia_intensa": leveled(spark, sf),
+        "sequia": labels.levels_by_day(monthly, daily),
+        "incendio": labels.fire_levels(week, thresholds.count_threshold(week)),
+    }
+    table = None
+    for event, days in leveled_days.items():
+        one = labels.forward_label(days.select(F.col("series").cast("string"), "date", "level"))
+        one = one.withColumn("event", F.lit(event))
+        table = one if table is None else table.unionByName(one)
+    return table
+
+
+HAZARDS = f"""{s.RAIN_ACC}, {s.BY_MONTH}, {s.SUMS}, {s.ACC.replace("acc AS", "limits AS", 1)},
+    {a.FIRE_SQL}, {WEEK}, {P90}, ranks AS (
+      SELECT 'lluvia_intensa' AS event, s.series, s.date, CASE WHEN total IS NULL OR p95_accumulated IS NULL
+        THEN NULL WHEN total <= p95_accumulated THEN 0 WHEN total <= p99_accumulated THEN 1 ELSE 2 END AS r
+      FROM sums s LEFT JOIN limits ON limits.series = s.series
+      UNION ALL SELECT 'sequia', d.series, d.date, CASE WHEN spi > -1 THEN 0 WHEN spi > -1.5e0 THEN 1
+        WHEN spi <= -1.5e0 THEN 2 END FROM rain d LEFT JOIN z ON z.series = d.series
+        AND z.month_start = date_trunc('month', d.date) - INTERVAL 1 MONTH
+      UNION ALL SELECT 'incendio', CAST(w.series AS VARCHAR), date, CASE WHEN n = 0 THEN 0 WHEN n <= p90 THEN 1
+        ELSE 2 END FROM week w JOIN p90 ON p90.series = w.series),
+    hazards AS (SELECT *, CASE WHEN count(r) OVER n7 = 7 THEN max(r) OVER n7 END AS m FROM ranks
+      WINDOW n7 AS (PARTITION BY event, series ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING))"""
+
+
+@query(
+    "label_distribution_hazards",
+    f"""WITH RECURSIVE {HAZARDS} SELECT event, series, CAST(year(date) AS INTEGER) AS year,
+      count(*) FILTER (WHERE m = 0) AS bajo, count(*) FILTER (WHERE m = 1) AS medio,
+      count(*) FILTER (WHERE m = 2) AS alto, count(*) FILTER (WHERE m IS NULL) AS without_label,
+      count(*) AS days
+    FROM hazards GROUP BY ROLLUP (event, series, CAST(year(date) AS INTEGER))""",
+)
+def label_distribution_hazards(spark, sf):
+    return labels.label_distribution(labeled_hazards(spark, sf), subtotals=True)
+
+
+@query(
+    "hazard_persistence",
+    f"""WITH RECURSIVE {HAZARDS}, known AS (SELECT event, m AS actual, r AS predicted FROM hazards
+      WHERE m IS NOT NULL AND r IS NOT NULL)
+    SELECT e AS event, {NAME.format(c='x')} AS actual, {NAME.format(c='y')} AS predicted, count(actual) AS n
+    FROM (SELECT DISTINCT event AS e FROM known) CROSS JOIN (VALUES (0), (1), (2)) t(x)
+      CROSS JOIN (VALUES (0), (1), (2)) u(y) LEFT JOIN known ON event = e AND actual = x AND predicted = y
+    GROUP BY 1, 2, 3""",
+)
+def hazard_persistence(spark, sf):
+    """Today's level against the week's: the nine cells of each hazard."""
+    told = Persistence().train(None).predict(labeled_hazards(spark, sf))
+    return evaluation.confusion(told, ["event"])
+
+
 FOLDS, GAP_DAYS = 4, 7
 MODES = f"""placed AS (
       SELECT date, CAST(least(floor((upto - 1) / floor(total / {FOLDS + 1}e0)), {FOLDS}) AS INTEGER) AS fold

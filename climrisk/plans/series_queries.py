@@ -8,7 +8,7 @@ from datetime import date as Date
 from pyspark.sql import functions as F
 
 from climrisk.functions import special
-from climrisk.operators import audits, calendar, spectrum, spi, thresholds, windows
+from climrisk.operators import audits, calendar, indices, spectrum, spi, thresholds, windows
 from climrisk.plans import adapters as a
 from climrisk.plans.registry import query, rounded
 
@@ -537,6 +537,46 @@ def spi_audit(spark, sf):
     return rounded(df, 4, *(c for c in df.columns if "mean" in c or c == "correlation"))
 
 
+WARM_SQL = a._dense_sql(
+    "warm",
+    """SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS date,
+       sum(l_quantity) / count(*) AS value FROM lineitem GROUP BY 1, 2""",
+)
+
+
+def warm(spark, sf):
+    """Mean quantity per return flag and day, as the temperature of the rain series."""
+    days = a.table(spark, sf, "lineitem").groupBy(
+        F.col("l_returnflag").alias("series"), F.to_date("l_shipdate").alias("date")
+    )
+    return calendar.densify(days.agg((F.sum("l_quantity") / F.count("*")).alias("value")))
+
+
+_ONE_MONTH = re.sub(
+    r"\b(acc|stats|usable|newton|shapes|fit|cdf|tail|q|z)\b", r"\1_one",
+    ACCUMULATED.replace("> 3", "> 1").replace("= 3", "= 1").replace("2 PRECEDING", "0 PRECEDING") + ", " + BY_MONTH,
+)
+
+
+@query(
+    "derived_indices",
+    f"""WITH RECURSIVE {RAIN_ACC}, {BY_MONTH}, {_ONE_MONTH}, {WARM_SQL}, {NORMALS.format(t='warm')}, streak AS (
+      SELECT *, max(CASE WHEN value IS NULL OR value >= 1 THEN date END) OVER (
+          PARTITION BY series ORDER BY date ROWS UNBOUNDED PRECEDING) AS brk,
+        min(date) OVER (PARTITION BY series) - 1 AS start FROM rain)
+    SELECT d.series AS district, d.date, round(o.spi, 6) AS spi_1m, round(t.spi, 6) AS spi_3m,
+      round(w.value - n.normal, 6) AS temp_anomaly, CASE WHEN d.value IS NOT NULL
+        THEN CAST(date_diff('day', coalesce(brk, start), d.date) AS INTEGER) END AS dry_days
+    FROM streak d LEFT JOIN warm w ON w.series = d.series AND w.date = d.date
+    LEFT JOIN normals n ON n.series = d.series AND n.month = month(d.date)
+    LEFT JOIN z_one o ON o.series = d.series AND o.month_start = date_trunc('month', d.date) - INTERVAL 1 MONTH
+    LEFT JOIN z t ON t.series = d.series AND t.month_start = date_trunc('month', d.date) - INTERVAL 1 MONTH""",
+)
+def derived_indices(spark, sf):
+    made = indices.derived_indices(a.rain(spark, sf), warm(spark, sf))
+    return rounded(made, 6, "spi_1m", "spi_3m", "temp_anomaly")
+
+
 @query(
     "index_corr",
     f"""WITH {a.RAIN_SQL}, m AS (
