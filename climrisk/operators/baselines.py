@@ -58,7 +58,7 @@ class ClimatologicalBaseline:
             raise NotTrained("train the climatological baseline before predicting")
         own = self.modes.select(
             self.series,
-            "month",
+            F.col("month").alias("_month"),
             self.event,
             F.col("_rank").alias("_own"),
             F.col("probability").alias("_own_p"),
@@ -68,11 +68,11 @@ class ClimatologicalBaseline:
         rest = self.overall.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
         other = F.try_element_at(rest, F.col(self.event))
         return (
-            rows.withColumn("month", F.month(self.date))
-            .join(own, [self.series, "month", self.event], "left")
+            rows.withColumn("_month", F.month(self.date))
+            .join(own, [self.series, "_month", self.event], "left")
             .withColumn("prediction", levels.level_name(F.coalesce("_own", other["_rank"])))
             .withColumn("probability", F.coalesce("_own_p", other["probability"]))
-            .drop("month", "_own", "_own_p")
+            .drop("_month", "_own", "_own_p")
         )
 
     def explain(self, rows: DataFrame) -> None:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from climrisk.operators import evaluation, models, windows
+from climrisk.operators import evaluation, forecasts, models, risk, windows
+from climrisk.operators.calendar import densify_counts
 from climrisk.plans import adapters as a
 from climrisk.plans import hazard_queries as h
 from climrisk.plans.registry import query, rounded
+from climrisk.schemas import EVENTS
 from climrisk.sources.tables import materialise
 
 FEATURES = ["lag_1", "sum_3", "sum_7", "mean_7", "month"]
@@ -105,3 +107,65 @@ def forecast_rows(spark, sf):
         F.max("date").alias("last_day"),
         F.count_if(~F.col("probability").between(0, 1)).alias("outside"),
     )
+
+
+# --- forecasts as risk rows -----------------------------------------------------------------
+
+
+def hazard_rows(spark, sf):
+    """Features up to day t and the week's label of every hazard: rain for two of them, detections for fire."""
+    rain = windows.lagged_features(a.rain(spark, sf)).withColumn("series", F.col("series").cast("string"))
+    counts = densify_counts(a.fire_counts(spark, sf), "detections")
+    fire = windows.lagged_features(counts.withColumn("value", F.col("detections").cast("double")))
+    columns = ["series", "date", *(f for f in FEATURES if f != "month")]
+    by_rain = rain.select(*columns, F.explode(F.array(F.lit("lluvia_intensa"), F.lit("sequia"))).alias("event"))
+    by_fire = fire.withColumn("series", F.col("series").cast("string")).select(*columns, F.lit("incendio").alias("event"))
+    made = by_rain.unionByName(by_fire).withColumn("month", F.month("date").cast("double"))
+    return made.join(h.labeled_hazards(spark, sf), ["event", "series", "date"])
+
+
+def hazard_forecasts(spark, sf):
+    """Risk rows of the last fold's days and the registry row of every hazard's model."""
+    whole = materialise(hazard_rows(spark, sf))
+    risks = metrics = None
+    for event in EVENTS:
+        rows = materialise(evaluation.expanding_folds(whole.where((F.col("event") == event) & F.col("label").isNotNull()), FOLDS))
+        training = evaluation.before_fold(rows, FOLDS, gap_days=GAP_DAYS)
+        test = rows.where(F.col("fold") == FOLDS)
+        model = models.logistic_regression(FEATURES).train(training)
+        version = forecasts.model_version(model.algorithm, event, training)
+        made = forecasts.risk_rows(model, test, event, version)
+        risks = made if risks is None else risks.unionByName(made)
+        if model.model is not None:
+            judged = forecasts.judge(model, test, training, event, version)
+            metrics = judged if metrics is None else metrics.unionByName(judged)
+    return risks, metrics
+
+
+@query("risk_forecasts")
+def risk_forecasts(spark, sf):
+    """One row per contribution of each forecast; a row without a forecast has one row of NULLs."""
+    risks, _ = hazard_forecasts(spark, sf)
+    return rounded(
+        risks.select("*", F.posexplode_outer("explanation").alias("place", "_e"))
+        .select("district", "date", "event", "level", "probability", "algorithm", "model_version", "place", "_e.*"),
+        6, "probability", "contribution",
+    )
+
+
+@query("forecast_legend")
+def forecast_legend(spark, sf):
+    """Districts per level on the last day of each hazard's forecasts, those without one counted too."""
+    risks = materialise(hazard_forecasts(spark, sf)[0])
+    codes = materialise(risks.select(F.col("district").alias("code")).distinct())
+    table = None
+    for r in risks.groupBy("event").agg(F.max("date").alias("day")).collect():
+        one = risk.legend_counts(risk.complete_risks(codes, risks, r["day"], r["event"]), ["event", "date"])
+        table = one if table is None else table.unionByName(one)
+    return table
+
+
+@query("forecast_registry")
+def forecast_registry(spark, sf):
+    _, metrics = hazard_forecasts(spark, sf)
+    return rounded(metrics.drop("trained_at"), 6, "macro_f1", "macro_precision", "macro_recall")

@@ -9,7 +9,10 @@ from climrisk.plans import registry
 from tests.conftest import SF
 
 # Training runs jobs while the plan is built; the others only describe work.
-TRAINED = {"model_lr", "model_rf", "model_gbt", "model_tune", "importance", "explain_linear"}
+TRAINED = {
+    "model_lr", "model_rf", "model_gbt", "model_tune", "importance", "explain_linear",
+    "risk_forecasts", "forecast_legend", "forecast_registry",
+}
 
 
 def plan_of(df):
