@@ -53,6 +53,14 @@ def worker_cache(name: str) -> dict:
     return sys.modules.setdefault(f"climrisk_worker_{name}", types.ModuleType(name)).__dict__
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of `df` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

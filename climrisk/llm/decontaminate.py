@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from climrisk.llm.common import free_name
+
 #: Largest hash set sent to the tasks (8 bytes a member).
 SET_LIMIT = 200_000
 
@@ -160,23 +162,38 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = 13, sha
     Equal doc_ids share their fate; rows without doc_id stay only if their text is clean, each by
     its own text (equal texts are equally contaminated).
     """
-    own = F.when(F.col("doc_id").isNull(), F.sha2(F.col("text").cast("string").cast("binary"), 256))
-    named = docs.where("doc_id IS NOT NULL")
+    own, named = free_name(docs, "own"), docs.where("doc_id IS NOT NULL")
     bad = contamination(named, benchmark, width, share).where("contaminated").select("doc_id").distinct()
-    nameless = docs.where("doc_id IS NULL").withColumn("_own", own)
+    nameless = docs.where("doc_id IS NULL").withColumn(own, _digest())
     # The digest takes the place of the id, so that a row's verdict is found by its text.
-    judged = contamination(nameless.where("_own IS NOT NULL").select(F.col("_own").alias("doc_id"), "text").distinct(), benchmark, width, share)
-    bad_texts = judged.where("contaminated").select(F.col("doc_id").alias("_own"))
-    return named.join(bad, "doc_id", "left_anti").select(docs.columns).unionByName(nameless.join(bad_texts, "_own", "left_anti").select(docs.columns))
+    judged = contamination(_by_text(nameless, own), benchmark, width, share)
+    bad_texts = judged.where("contaminated").select(F.col("doc_id").alias(own))
+    kept = nameless.join(bad_texts, own, "left_anti")
+    return named.join(bad, "doc_id", "left_anti").select(docs.columns).unionByName(kept.select(docs.columns))
+
+
+def _digest() -> Column:
+    return F.sha2(F.col("text").cast("string").cast("binary"), 256)
+
+
+def _by_text(rows: DataFrame, digest: str) -> DataFrame:
+    """Each text once, with its digest as doc_id; null texts left out."""
+    return rows.where(F.col(digest).isNotNull()).select(F.col(digest).alias("doc_id"), "text").distinct()
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
-    """doc_id and the remaining words (lower case, one space between) of each document row."""
-    marked = contamination(docs, benchmark, width).select("row_id", "spans")
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), "doc_id", words_of(F.col("text")).alias("words")
-    )
+    """doc_id and the remaining words (lower case, one space between) of each document row.
+
+    Spans are found once for each text and meet the rows by its digest, so the rows may come in any
+    order. Repeated rows and a null doc_id come back like any other; a null or empty text is empty.
+    Other columns are left out.
+    """
+    rows = docs.select("doc_id", "text", _digest().alias("digest"))
+    marked = contamination(_by_text(rows, "digest"), benchmark, width)
+    # Only texts with a span are looked up: clean ones keep all their words.
+    cut = marked.where("n_hit > 0").select(F.col("doc_id").alias("digest"), "spans")
     kept = F.filter(
-        "words", lambda w, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))
+        words_of(F.col("text")),
+        lambda w, i: ~F.exists(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")), lambda s: (s["start"] <= i) & (i < s["end"])),
     )
-    return rows.join(marked, "row_id").select("doc_id", F.array_join(kept, " ").alias("text"))
+    return rows.join(cut, "digest", "left").select("doc_id", F.array_join(kept, " ").alias("text"))
