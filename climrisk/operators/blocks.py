@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DAYS = 2048
+# Rows that one task sorts where their number is known.
+TASK_ROWS = 1 << 18
 
 _TAGS = ("_day", "_block", "_core")
 
@@ -52,10 +54,16 @@ def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def _by_block(df: DataFrame, keys: list[str], date: str, block_days: int) -> DataFrame:
-    """Rows placed by (series, block) once; whatever is derived per block reuses that shuffle."""
+def _by_block(
+    df: DataFrame, keys: list[str], date: str, block_days: int, rows: int | None = None
+) -> DataFrame:
+    """Rows placed by (series, block) once; whatever is derived per block reuses that shuffle.
+
+    With `rows`, about their number, there is a part for every TASK_ROWS of them.
+    """
     block = F.floor(F.unix_date(F.col(date)) / block_days)
-    return keyed(df, [*keys, date]).withColumn("_block", block).repartition(*keys, "_block")
+    parts = [] if rows is None else [max(1, -(-rows // TASK_ROWS))]
+    return keyed(df, [*keys, date]).withColumn("_block", block).repartition(*parts, *keys, "_block")
 
 
 def framed(
@@ -96,14 +104,17 @@ def carried(
     series="series",
     date: str = "date",
     block_days: int = BLOCK_DAYS,
+    rows: int | None = None,
 ) -> DataFrame:
     """The nearest non-NULL value of each expression, looking `back` or `ahead` from the row.
 
-    The row's own value counts. Both directions share one shuffle and one hand-over table.
+    The row's own value counts. Both directions share one shuffle and one hand-over table. `rows`,
+    about the number of rows, lets the number of tasks follow it, so a task's memory stays the same;
+    without it Spark's number of partitions holds.
     """
     keys = _keys(series)
     wanted = {**(back or {}), **(ahead or {})}
-    tagged = _by_block(df, keys, date, block_days).withColumns(
+    tagged = _by_block(df, keys, date, block_days, rows).withColumns(
         {f"_v_{n}": v for n, v in wanted.items()}
     )
 

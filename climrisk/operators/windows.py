@@ -282,7 +282,10 @@ def impute_linear(
     date: str = "date",
     **where,
 ) -> DataFrame:
-    """Fills interior gaps up to `longest_gap` days on the line between their two ends."""
+    """Fills interior gaps up to `longest_gap` days on the line between their two ends.
+
+    `rows=`, about the number of rows of `df`, bounds what a task holds (see `carried`).
+    """
     checks.window_at_least(longest_gap)
     day = F.unix_date(date)
     known = F.when(F.col(value).isNotNull(), F.struct(day.alias("d"), F.col(value).alias("v")))

@@ -77,6 +77,17 @@ def stations(spark, sf) -> DataFrame:
     return densify(station_days(spark, sf))
 
 
+def station_rows(spark, sf) -> int:
+    """Rows of `stations`: series times days, from one summary of the table."""
+    day = F.to_date("l_shipdate")
+    found = table(spark, sf, "lineitem").agg(
+        F.count_distinct("l_suppkey").alias("series"),
+        (F.datediff(F.max(day), F.min(day)) + 1).alias("days"),
+    )
+    n = found.first()
+    return n["series"] * (n["days"] or 0)
+
+
 def _dense_sql(name: str, source: str) -> str:
     return f"""
 {name}_days AS ({source}),

@@ -193,7 +193,8 @@ _NEIGHBOURS = """
         ELSE 'sin_imputar' END AS imputation_method FROM line""",
 )
 def impute_linear(spark, sf):
-    return rounded(windows.impute_linear(a.stations(spark, sf)), 6, "filled")
+    rows = a.station_rows(spark, sf)
+    return rounded(windows.impute_linear(a.stations(spark, sf), rows=rows), 6, "filled")
 
 
 @query(

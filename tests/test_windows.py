@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from climrisk.functions.kernels import smoothing_matrix
-from climrisk.operators import calendar, windows
+from climrisk.operators import blocks, calendar, windows
 from climrisk.operators.blocks import carried, running_sum
 from tests.conftest import EPOCH
 
@@ -206,6 +206,17 @@ def test_linear_imputation(daily, column, block):
     assert column(out, "imputation_method")["a"][2] == "interpolacion_lineal"
 
 
+def test_imputation_tasks_follow_the_rows(daily, column, monkeypatch):
+    v = [1, None, None, 4, *noisy(60, 5, 0.7)]
+    df = daily(a=v, b=v[::-1])
+    whole = column(windows.impute_linear(df, 3, block_days=8), "filled")
+    monkeypatch.setattr(blocks, "TASK_ROWS", 16)
+    out = windows.impute_linear(df, 3, block_days=8, rows=128)
+    assert column(out, "filled") == whole
+    # 128 rows of 16 a task, where the session has 4 partitions.
+    assert "RepartitionByExpression" in (plan := out._jdf.queryExecution().logical().toString()) and ", 8" in plan
+
+
 @pytest.mark.parametrize("block", [4, 2048])
 def test_carry_and_running_sum_cross_blocks(daily, column, block):
     v = noisy(40, 7, 0.8)
